@@ -70,6 +70,10 @@ def verify(sig: np.ndarray, shingles: list[np.ndarray], pairs: np.ndarray) -> np
     return out
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    return C.band_values(sig, ROWS)
+
+
 def _shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text, how many, and the content keys."""
     W = words(col)
@@ -135,7 +139,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # a repeated doc_id may bring another text along: its own shingles must give the unit's key
     shingled = text.mapInArrow(_keyed_sets, "key BINARY, shingles BINARY").dropDuplicates(["key"])
     ready = block.join(members.select("key", "weight", "sig"), "key").join(shingled, "key")
-    links, final = C.linked(ready, ROWS, verify, K)
+    links, final = C.linked(ready, _bands, verify)
     u = units.select("key", "weight", F.col("doc_id").alias("first_id")).join(links, "key", "left").join(final.select(F.col("node").alias("key"), "root"), "key", "left")
     u = u.withColumn("root", F.coalesce("root", "key")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
     least = u.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("class_id"), F.col("key").alias("first_key"))).alias("f")).select("root", "f.*")
