@@ -120,7 +120,7 @@ def _score(order: int):
             num, den = others[k - 1], others[k - 2][first]
             score[ends] = np.where(num > 0, num / np.maximum(den, 1), BACKOFF * score[ends])
         total = np.bincount(doc, weights=np.log(score), minlength=len(count)) if len(count) else np.zeros(0)
-        return pa.table([docs.column("doc_id"), pa.array(count, pa.int64()), pa.array(np.round(total, 6)), pa.array(np.round(total / np.maximum(count, 1), 6))], ["doc_id", "n_words", "log_score", "mean_score"])
+        return pa.table([docs.column("doc_id"), pa.array(count, pa.int64()), pa.array(np.round(total.astype(float), 6)), pa.array(np.round(total.astype(float) / np.maximum(count, 1), 6))], ["doc_id", "n_words", "log_score", "mean_score"])
 
     return run
 

@@ -27,6 +27,7 @@ from keyloom.llm.text import slices
 WORDS = 2048  #: buckets of hashed words
 FACTORS = 8
 TRAIN_ROWS = 5000
+LEAST_STEPS = 600  #: of the optimiser, however few rows there are
 CUT = 0.7
 
 
@@ -74,10 +75,11 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, rounds: int = 14, batch
     m.v = rng.normal(0, 0.02, m.v.shape).astype(np.float32)
     m.b = float(np.log(y.mean() / (1 - y.mean())))
     full = np.concatenate((x, m.standard(stats)), 1)
+    rounds = max(rounds, LEAST_STEPS * batch // len(y))
     params = [np.array([m.b], np.float32), m.w, m.v]
     mom, sq, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for r in range(rounds):
-        rate = 0.01 / (1 + 0.3 * r)
+        rate = 0.01 / (1 + 4 * r / rounds)
         for i in np.split(rng.permutation(len(y)), range(batch, len(y), batch)):
             xb, t = full[i], t + 1
             xv = xb @ params[2]

@@ -31,7 +31,7 @@ GRADES = 4
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 6000
 #: Least number of toxic training documents with an entry, and least z-score of its excess.
-LEAST_DOCS, LEAST_Z = 8, 7.0
+LEAST_DOCS, LEAST_Z = 5, 6.0
 LEXICON = 5000
 PREFIXES = (4, 5)
 CUT = 0.5
