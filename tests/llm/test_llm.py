@@ -303,7 +303,7 @@ def test_tokens_empty_and_damaged(spark, edges, none, tmp_path):
 
 
 def test_backoff_edges(spark, edges, none, monkeypatch):
-    monkeypatch.setattr(backoff, "CHUNK_BYTES", 64)  # several chunks and hash ranges
+    monkeypatch.setattr(backoff, "CHUNK_BYTES", 1 << 16)  # several chunks and hash ranges
     many = {(r.doc_id, r.n_words): r.log_score for r in backoff.scored(edges).collect()}
     monkeypatch.setattr(backoff, "CHUNK_BYTES", 1 << 30)
     once = {(r.doc_id, r.n_words): r.log_score for r in backoff.scored(edges).collect()}
