@@ -1,7 +1,12 @@
-"""Bounded samples of labelled rows, for training on the driver."""
+"""Bounded samples of labelled rows, and training on them in a task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +26,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Co
     p = picked.select(F.col("doc_id").alias("__id"), "label")
     # twice as many documents as ids at most, should doc_ids repeat
     return docs.join(F.broadcast(p), docs["doc_id"] == p["__id"]).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "label", F.col("doc_id").alias("id")).limit(2 * rows)
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """fit of all rows of a bounded sample, run in one task, so that only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    # an empty sample may be planned without any task
+    got = sample.coalesce(1).mapInArrow(run, "model BINARY").head()
+    return pickle.loads(bytes(got[0])) if got else fit([])

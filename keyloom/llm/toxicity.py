@@ -129,7 +129,7 @@ def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 1500) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """From at most `rows` labelled documents; their distinct word hashes come to the driver, not their texts."""
+    """From at most `rows` labelled documents, in one task; only the lexicon and its weights come to the driver."""
     ship(docs.sparkSession)
     sample = learn.labelled(docs, labels, "toxic", rows, F.lit(True))
 
@@ -139,9 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32) * 8
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))]), pa.array(sketch.view(np.int64))], ["id", "label", "h", "sketch"])
 
-    got = sorted(sample.mapInArrow(hashed, f"id {dict(docs.dtypes)['doc_id']}, label INT, h BINARY, sketch BIGINT").collect(), key=lambda r: (r[0], r[2]))
-    once = {(sketch, y): (np.frombuffer(bytes(h), "<u8"), y) for _, y, h, sketch in got}  # a near copy teaches nothing new
-    return fit(list(once.values()))
+    def model(got: list[dict]) -> Model:
+        got = sorted(got, key=lambda r: (r["id"], r["h"]))
+        once = {(r["sketch"], r["label"]): (np.frombuffer(r["h"], "<u8"), r["label"]) for r in got}  # a near copy teaches nothing new
+        return fit(list(once.values()))
+
+    return learn.fitted(sample.mapInArrow(hashed, f"id {dict(docs.dtypes)['doc_id']}, label INT, h BINARY, sketch BIGINT"), model)
 
 
 def predict(col: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
