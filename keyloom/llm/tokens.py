@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import rans
 from keyloom.llm.session import folder, parallelism, remove, ship
-from keyloom.llm.text import slices, within, words
+from keyloom.llm.text import LOWER, Words, slices, within, words
 
 END = 1
-#: Words that a worker keeps with their ids.
-CACHE_WORDS = 500_000
-_PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: Pieces of words that a worker keeps the ids of, some 30 bytes each.
+CACHE_WORDS = 1_000_000
+#: Bytes of text that are encoded at a time.
+SLICE = 2 << 20
+_PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _kept: dict[str, tuple] = {}
 
 
@@ -43,20 +46,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    """Ids of words, by the tokenizers library; each distinct word is encoded once as long as the cache has room.
+    """Ids of words, by the tokenizers library; each distinct piece of a word is encoded once as long as the cache has room.
 
     Exact for tokenizers whose pre-tokenizer never joins what ASCII white space parts and drops it,
     whose added tokens hold no white space, and that lower-case: then the ids of a
     text are those of its white-space-separated words in a row. Lower-casing ASCII first and
     cutting off a tail of ASCII punctuation changes no ids either; both are skipped
     where a word may hold an added token (`<|`) or a combining accent.
+
+    The cache is arrays: sorted hashes of pieces, and where the ids of each lie. Only pieces that it lacks
+    become Python objects.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.ids = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
+        self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.width)
 
     @classmethod
     def get(cls, path: str) -> WordEncoder:
@@ -64,54 +72,79 @@ class WordEncoder:
             _kept[path] = cls(path)
         return _kept[path]
 
-    def encode(self, ws: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian 16- or 32-bit integers (see width)."""
-        cache = self.ids
-        cores, tails = [], []
-        for w in ws:
-            if b"<|" in w or b"\xcc" in w or b"\xcd" in w:
-                cores.append(w)
-                tails.append(b"")
-                continue
-            w = w.lower()
-            core = w.rstrip(_PUNCT)
-            cores.append(core)
-            tails.append(w[len(core) :] if core else w)
-        new = list({w for w in (*cores, *tails) if w and w not in cache})
-        fresh: dict[bytes, bytes] = {b"": b""}
+    def pieces(self, P: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pieces that aren't empty: where the ids of each begin, how many they are, and the ids."""
+        code, uniq = pd.factorize(P.hashes())
+        place = np.searchsorted(self.keys, uniq)
+        known = np.zeros(len(uniq), bool)
+        known[place < len(self.keys)] = self.keys[place[place < len(self.keys)]] == uniq[place < len(self.keys)]
+        at, size = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int32)
+        at[known], size[known] = self.at[place[known]], self.size[place[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return at[code], size[code], self.ids
+        first = first_places(code, len(uniq))[new]
+        fresh = []
         for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, "<u4").astype(self.width).tobytes()
-        out = [(cache[c] if c in cache else fresh[c]) + (cache[t] if t in cache else fresh[t]) for c, t in zip(cores, tails)]
-        if len(cache) < CACHE_WORDS:
-            cache.update(fresh)
-        return out
-
-    @property
-    def width(self) -> str:
-        return "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+            part = [P.word(k).decode() for k in first[i : i + 4096].tolist()]
+            ids = [e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
+            size[new[i : i + 4096]] = [len(x) for x in ids]
+            fresh.append(np.fromiter(chain.from_iterable(ids), self.width))
+        at[new] = len(self.ids) + np.cumsum(size[new], dtype=np.int64) - size[new]
+        everything = np.concatenate((self.ids, *fresh))
+        if len(self.keys) + len(new) <= CACHE_WORDS:
+            order = new[np.argsort(uniq[new])]
+            into = place[order]
+            self.keys, self.at, self.size = np.insert(self.keys, into, uniq[order]), np.insert(self.at, into, at[order]), np.insert(self.size, into, size[order])
+            self.ids = everything
+        return at[code], size[code], everything
+
+
+def first_places(code: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the codes 0..n-1 occurs first."""
+    out = np.empty(n, np.int64)
+    out[code[::-1]] = np.arange(len(code))[::-1]
+    return out
+
+
+def _split(W: Words, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the distinct words, lower-cased, and where the punctuation that ends each begins; odd words are left as they are."""
+    data, start, end = LOWER[W.data], W.start[first], W.end[first]
+    mark = (W.data == 0xCC) | (W.data == 0xCD)
+    mark[:-1] |= (W.data[:-1] == ord("<")) & (W.data[1:] == ord("|"))
+    odd = np.zeros(len(first), bool)
+    odd[code[np.searchsorted(W.start, np.flatnonzero(mark), "right") - 1]] = True
+    for i in np.flatnonzero(odd).tolist():
+        data[start[i] : end[i]] = W.data[start[i] : end[i]]
+    cut, live = end.copy(), np.flatnonzero(~odd)
+    while len(live):
+        live = live[_PUNCT[data[cut[live] - 1]]]
+        cut[live] -= 1
+        live = live[cut[live] > start[live]]
+    return data, cut, end
 
 
 def encode_texts(col: pa.Array, enc: WordEncoder, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, an end id after each text's, and how many each text has."""
     W = words(col)
     code, uniq = pd.factorize(W.hashes())
-    first = np.empty(len(uniq), np.int64)
-    first[code[::-1]] = np.arange(len(code))[::-1]
-    raw, s, e = W.data.tobytes(), W.start[first].tolist(), W.end[first].tolist()
-    ids = enc.encode([raw[a:b] for a, b in zip(s, e)])
-    width = np.dtype(enc.width).itemsize
-    size = np.array([len(x) // width for x in ids], np.int64)
+    first = first_places(code, len(uniq))
+    data, cut, last = _split(W, code, first)
+    # two pieces of each distinct word, in their order; either may be empty
+    a, b = np.stack((W.start[first], cut), 1).reshape(-1), np.stack((cut, last), 1).reshape(-1)
+    full = np.flatnonzero(b > a)
+    at, size = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    at[full], size[full], ids = enc.pieces(Words(data, W.off, a[full], b[full], np.zeros(0, np.int64)))
+    flat = np.concatenate((ids[np.repeat(at, size) + within(size)], np.array([end], enc.width)))
+    size = size.reshape(-1, 2).sum(1)
     at = np.concatenate((np.cumsum(size) - size, [int(size.sum())]))
-    flat = np.concatenate((np.frombuffer(b"".join(ids), enc.width), np.array([end], enc.width)))
     # the end id follows as one more word of every text
-    cut = np.cumsum(W.count)
-    code = np.insert(code, cut, len(uniq))
+    stop = np.cumsum(W.count)
+    code = np.insert(code, stop, len(uniq))
     size = np.concatenate((size, [1]))
     n = size[code]
     tokens = flat[np.repeat(at[code], n) + within(n)]
-    ends = np.cumsum(n)[cut + np.arange(len(cut))] if len(cut) else np.zeros(0, np.int64)
+    ends = np.cumsum(n)[stop + np.arange(len(stop))] if len(stop) else np.zeros(0, np.int64)
     return tokens, np.diff(np.concatenate(([0], ends)))
 
 
@@ -155,7 +188,7 @@ def _cut(path: str, end: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _staged_types())], _staged_names())
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             tokens, n = encode_texts(b.column("text"), enc, end)
             held.append(tokens)
             size += len(tokens)
