@@ -135,7 +135,8 @@ def classes(docs: DataFrame) -> DataFrame:
     block, _ = written(C.blocks(near), "blocks")
     members = units.join(block.select("key").distinct(), "key", "left_semi")
     picked = members.select("key", "doc_id")
-    text = rows.withColumnRenamed("doc_id", "d").join(picked, F.col("d").eqNullSafe(F.col("doc_id"))).select("key", "text")
+    # texts meet ids in the same way at every size, as the ids grow with the data
+    text = rows.withColumnRenamed("doc_id", "d").join(picked.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id"))).select("key", "text")
     # a repeated doc_id may bring another text along: its own shingles must give the unit's key
     shingled = text.mapInArrow(_keyed_sets, "key BINARY, shingles BINARY").dropDuplicates(["key"])
     ready = block.join(members.select("key", "weight", "sig"), "key").join(shingled, "key")
@@ -173,7 +174,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     # doc_id alone decides, unless it occurs more than once
     twice = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if not twice:
-        return docs.join(f, docs["doc_id"].eqNullSafe(f[id_])).drop(id_, key, rows)
+        return docs.join(f.hint("merge"), docs["doc_id"].eqNullSafe(f[id_])).drop(id_, key, rows)
 
     @F.arrow_udf("binary")
     def key_of(text: pa.Array) -> pa.Array:
