@@ -11,6 +11,10 @@ even size); a chunk explodes its n-grams and adds them up before anything is shu
 it, joins the totals back to each chunk's n-grams, and returns them in the same order. A common n-gram costs
 one entry a chunk, never a row an occurrence, so no partition is hot.
 
+Words and bigrams go first. A longer n-gram is asked for once the totals of its two (n-1)-grams are there, and only if other
+documents hold both: if they don't, none can hold the n-gram, and its count is zero without asking. Whoever else holds it holds
+both parts too and asks as well, so totals are whole.
+
 Words are `[^\\x20\\x09-\\x0D]+`. Null, empty and blank texts have no words and score 0. Repeated rows score one another. An empty
 table gives no rows.
 """
@@ -26,8 +30,7 @@ from pyspark.sql import functions as F
 from keyloom.llm.session import parallelism, ship, stored_bytes
 from keyloom.llm.text import words, windows
 
-#: Trigram requests alone would take more than the disk budget on text of so many distinct trigrams.
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Stored bytes of input for each chunk, and for each hash range.
 CHUNK_BYTES = 8 << 20
 
@@ -58,16 +61,48 @@ def _cuts(uniq: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(uniq, edges), [len(uniq)]))
 
 
-def _send(order: int, ranges: int):
+def _pack(a: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: those that are zero throughout compress to nothing."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _unpack(b: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _requests(chunk: int, n: int, uniq: np.ndarray, count: np.ndarray, ranges: int) -> list[tuple]:
+    """A row for each hash range: the gaps between the chunk's sorted n-grams there, and their counts."""
+    at = _cuts(uniq, ranges)
+    return [(chunk, n, r, _pack(np.diff(uniq[a:b], prepend=np.uint64(0)).astype("<u8")), _pack(count[a:b].astype("<u4"))) for r, (a, b) in enumerate(zip(at[:-1], at[1:]))]
+
+
+_SENT = ["chunk", "n", "part", "grams", "counts"]
+_SENT_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _SENT_TYPES)], _SENT)
+
+
+def _send_short(order: int, ranges: int):
+    """Requests of a chunk for n up to 2."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        chunk = key[0].as_py()
-        _, grams = _grams(_text(t), order)
-        rows = []
-        for n, (_, uniq, count, _) in enumerate(grams, 1):
-            at = _cuts(uniq, ranges)
-            rows += [(chunk, n, r, uniq[a:b].tobytes(), count[a:b].astype("<u4").tobytes()) for r, (a, b) in enumerate(zip(at[:-1], at[1:]))]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "grams", "counts"])
+        _, grams = _grams(_text(t), min(order, 2))
+        return _sent([row for n, (_, uniq, count, _) in enumerate(grams, 1) for row in _requests(key[0].as_py(), n, uniq, count, ranges)])
+
+    return run
+
+
+def _send_long(n: int, ranges: int):
+    """Requests of a chunk for one n from 3 on, given the totals of shorter ones."""
+
+    def run(key: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
+        _, grams = _grams(_text(docs), n)
+        others = _others(grams, got, n - 1)
+        wanted, (_, uniq, count, _) = _wanted(grams, others, n), grams[n - 1]
+        return _sent(_requests(key[0].as_py(), n, uniq[wanted], count[wanted], ranges))
 
     return run
 
@@ -79,12 +114,12 @@ def _add(key: tuple, t: pa.Table) -> pa.Table:
     rows = []
     for k in np.unique(n).tolist():
         at = np.flatnonzero(n == k).tolist()
-        g = [np.frombuffer(grams[i], "<u8") for i in at]
-        c = np.concatenate([np.frombuffer(counts[i], "<u4") for i in at])
+        g = [np.cumsum(_unpack(grams[i], "<u8"), dtype=np.uint64) for i in at]
+        c = np.concatenate([_unpack(counts[i], "<u4") for i in at])
         code, uniq = pd.factorize(np.concatenate(g))
         total = np.bincount(code, weights=c, minlength=len(uniq)).astype("<u8")[code] if len(code) else np.zeros(0, "<u8")
         ends = np.cumsum([len(x) for x in g])
-        rows += [(chunk[i], k, key[0].as_py(), total[e - len(x) : e].tobytes(), int(c.sum()) if k == 1 else 0) for i, x, e in zip(at, g, ends)]
+        rows += [(chunk[i], k, key[0].as_py(), _pack(total[e - len(x) : e]), int(c.sum()) if k == 1 else 0) for i, x, e in zip(at, g, ends)]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "totals", "words"])
 
@@ -96,28 +131,51 @@ def _own(m: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(pair)[pair] if len(pair) else np.zeros(0, np.int64)
 
 
+def _within(grams: list, n: int) -> np.ndarray:
+    """Where the (n-1)-gram that begins an n-gram lies among the (n-1)-grams; the one that ends it comes next. A text has one more of them."""
+    m, shorter = grams[n - 1][0], grams[n - 2][0]
+    return np.repeat(np.cumsum(shorter) - shorter - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+
+
+def _wanted(grams: list, others: list[np.ndarray], n: int) -> np.ndarray:
+    """Whether the chunk asks for each of its distinct n-grams: other documents than one that holds it hold both its (n-1)-grams."""
+    _, uniq, _, code = grams[n - 1]
+    at, held = _within(grams, n), others[n - 2]
+    out = np.zeros(len(uniq), bool)
+    out[code[(held[at] > 0) & (held[at + 1] > 0)]] = True
+    return out
+
+
+def _others(grams: list, got: pa.Table, order: int) -> list[np.ndarray]:
+    """For k = 1..order: how often the k-gram that begins at each place occurs in other documents."""
+    n, part = got.column("n").to_numpy(), got.column("part").to_numpy()
+    packed = got.column("totals").to_pylist()
+    out: list[np.ndarray] = []
+    for k, (m, uniq, _, code) in enumerate(grams[:order], 1):
+        at = np.flatnonzero(n == k)
+        total = np.concatenate([np.zeros(0, np.int64), *(_unpack(packed[i], "<u8").astype(np.int64) for i in at[np.argsort(part[at])])])
+        if k <= 2:
+            out.append(total[code] - _own(m, code, len(uniq)))
+        else:
+            wanted = _wanted(grams, out, k)
+            full = np.zeros(len(uniq), np.int64)
+            full[wanted] = total
+            out.append(np.where(wanted[code], full[code] - _own(m, code, len(uniq)), 0))
+    return out
+
+
 def _score(order: int):
     def run(key: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
         count, grams = _grams(_text(docs), order)
-        n, part = got.column("n").to_numpy(), got.column("part").to_numpy()
-        packed = got.column("totals").to_pylist()
-        totals = []
-        for k in range(1, order + 1):
-            at = np.flatnonzero(n == k)
-            totals.append(np.frombuffer(b"".join(packed[i] for i in at[np.argsort(part[at])]), "<u8").astype(np.int64))
-        everything = int(got.column("words").to_numpy()[n == 1].sum())
-        # others[k][i]: how often the k-gram that begins at its i-th place occurs in other documents
-        others = [totals[k][code] - _own(m, code, len(uniq)) for k, (m, uniq, _, code) in enumerate(grams)]
+        others = _others(grams, got, order)
+        everything = int(got.column("words").to_numpy()[got.column("n").to_numpy() == 1].sum())
         doc = np.repeat(np.arange(len(count)), count)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         rest = np.maximum(everything - count, 0)[doc]
         score = np.where(others[0] > 0, others[0] / np.maximum(rest, 1), 1.0 / (rest + 1.0))
         for k in range(2, order + 1):
-            m = grams[k - 1][0]
             ends = np.flatnonzero(pos >= k - 1)  # words with k - 1 before them, in the order of the k-grams
-            # the context of the k-gram at hand begins k - 1 words before; among (k-1)-grams each document has one more
-            first = np.repeat(np.cumsum(grams[k - 2][0]) - grams[k - 2][0], m) + (np.arange(len(ends)) - np.repeat(np.cumsum(m) - m, m))
-            num, den = others[k - 1], others[k - 2][first]
+            num, den = others[k - 1], others[k - 2][_within(grams, k)]
             score[ends] = np.where(num > 0, num / np.maximum(den, 1), BACKOFF * score[ends])
         total = np.bincount(doc, weights=np.log(score), minlength=len(count)) if len(count) else np.zeros(0)
         return pa.table([docs.column("doc_id"), pa.array(count, pa.int64()), pa.array(np.round(total.astype(float), 6)), pa.array(np.round(total.astype(float) / np.maximum(count, 1), 6))], ["doc_id", "n_words", "log_score", "mean_score"])
@@ -132,8 +190,11 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     chunks = stored_bytes(docs) // CHUNK_BYTES + 1
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     dealt = rows.repartition(parallelism(spark, docs), "chunk")
-    sent = dealt.groupBy("chunk").applyInArrow(_send(order, chunks), "chunk INT, n INT, part INT, grams BINARY, counts BINARY")
-    back = sent.groupBy("part").applyInArrow(_add, "chunk INT, n INT, part INT, totals BINARY, words BIGINT")
+    request, answer = "chunk INT, n INT, part INT, grams BINARY, counts BINARY", "chunk INT, n INT, part INT, totals BINARY, words BIGINT"
+    back = dealt.groupBy("chunk").applyInArrow(_send_short(order, chunks), request).groupBy("part").applyInArrow(_add, answer)
+    for n in range(3, order + 1):
+        sent = dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_send_long(n, chunks), request)
+        back = back.union(sent.groupBy("part").applyInArrow(_add, answer))
     return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score(order), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words BIGINT, log_score DOUBLE, mean_score DOUBLE")
 
 
@@ -143,14 +204,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM d, unnest(range(1, len(w) + 1)) u(i)),
+t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM d, unnest(range(1, len(w) + 1)) u(i)),
 n AS (SELECT sum(len(w)) AS n FROM d),
-u AS (SELECT doc_id, b AS g, count(*) AS own FROM t GROUP BY 1, 2), ut AS (SELECT g, sum(own) AS total FROM u GROUP BY 1),
-p AS (SELECT doc_id, a, b, count(*) AS own FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3), pt AS (SELECT a, b, sum(own) AS total FROM p GROUP BY 1, 2),
-s AS (SELECT t.doc_id, ub.total - ob.own AS cb, ua.total - oa.own AS ca, pt.total - p.own AS cab, n.n - len(d.w) AS rest, t.a IS NULL AS head
-  FROM t JOIN d USING (doc_id) CROSS JOIN n JOIN u ob ON ob.doc_id = t.doc_id AND ob.g = t.b JOIN ut ub ON ub.g = t.b
-  LEFT JOIN u oa ON oa.doc_id = t.doc_id AND oa.g = t.a LEFT JOIN ut ua ON ua.g = t.a LEFT JOIN p ON p.doc_id = t.doc_id AND p.a = t.a AND p.b = t.b LEFT JOIN pt ON pt.a = t.a AND pt.b = t.b),
-l AS (SELECT doc_id, ln(CASE WHEN cab > 0 THEN cab / ca ELSE CASE WHEN head THEN 1.0 ELSE 0.4 END * CASE WHEN cb > 0 THEN cb / CAST(rest AS DOUBLE) ELSE 1.0 / (rest + 1) END END) AS x FROM s),
-r AS (SELECT doc_id, sum(x) AS x FROM l GROUP BY 1)
+o1 AS (SELECT doc_id, c, count(*) AS own FROM t GROUP BY ALL), n1 AS (SELECT doc_id, c, sum(own) OVER (PARTITION BY c) - own AS n FROM o1),
+o2 AS (SELECT doc_id, b, c, count(*) AS own FROM t WHERE i > 1 GROUP BY ALL), n2 AS (SELECT doc_id, b, c, sum(own) OVER (PARTITION BY b, c) - own AS n FROM o2),
+o3 AS (SELECT doc_id, a, b, c, count(*) AS own FROM t WHERE i > 2 GROUP BY ALL), n3 AS (SELECT doc_id, a, b, c, sum(own) OVER (PARTITION BY a, b, c) - own AS n FROM o3),
+s AS (SELECT t.doc_id, t.i, n.n - len(d.w) AS rest, x.n AS n_c, y.n AS n_b, bc.n AS n_bc, ab.n AS n_ab, abc.n AS n_abc
+  FROM t JOIN d USING (doc_id) CROSS JOIN n JOIN n1 x ON x.doc_id = t.doc_id AND x.c = t.c LEFT JOIN n1 y ON y.doc_id = t.doc_id AND y.c = t.b
+  LEFT JOIN n2 bc ON bc.doc_id = t.doc_id AND bc.b = t.b AND bc.c = t.c LEFT JOIN n2 ab ON ab.doc_id = t.doc_id AND ab.b = t.a AND ab.c = t.b
+  LEFT JOIN n3 abc ON abc.doc_id = t.doc_id AND abc.a = t.a AND abc.b = t.b AND abc.c = t.c),
+s1 AS (SELECT *, CASE WHEN n_c > 0 THEN n_c / CAST(rest AS DOUBLE) ELSE 1.0::DOUBLE / (rest + 1) END AS p1 FROM s),
+s2 AS (SELECT *, CASE WHEN i < 2 THEN p1 WHEN n_bc > 0 THEN n_bc / CAST(n_b AS DOUBLE) ELSE 0.4::DOUBLE * p1 END AS p2 FROM s1),
+s3 AS (SELECT doc_id, CASE WHEN i < 3 THEN p2 WHEN n_abc > 0 THEN n_abc / CAST(n_ab AS DOUBLE) ELSE 0.4::DOUBLE * p2 END AS p3 FROM s2),
+r AS (SELECT doc_id, sum(ln(p3)) AS x FROM s3 GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(x, 0.0::DOUBLE), 6) AS log_score, round(coalesce(x, 0.0::DOUBLE) / greatest(len(w), 1), 6) AS mean_score FROM d LEFT JOIN r USING (doc_id)
 """
