@@ -8,7 +8,7 @@ score is the sum of the logarithms.
 The count tables are partitioned by n-gram hash. Documents lie in chunks (by a hash of doc_id, so of
 even size); a chunk explodes its n-grams and adds them up before anything is shuffled, and sends
 (hash range, its distinct n-grams, their counts) as packed columns. A hash range adds up what all chunks sent
-it, joins the totals back to each chunk's n-grams, and returns them in the same order. A common n-gram costs
+it, joins the totals back to each chunk's n-grams, and returns what all other chunks hold of them in the same order. A common n-gram costs
 one entry a chunk, never a row an occurrence, so no partition is hot.
 
 Words and bigrams go first. A longer n-gram is asked for once the totals of its two (n-1)-grams are there, and only if other
@@ -35,19 +35,23 @@ ORDER, BACKOFF = 3, 0.4
 CHUNK_BYTES = 8 << 20
 
 
-def _grams(col: pa.Array, order: int):
-    """For n = 1..order: hashes of all n-grams in document order, how many each text has, and the distinct ones with counts and codes."""
+def _grams(col: pa.Array, order: int, least: int = 1):
+    """For n = 1..order: how many n-grams each text has, the distinct ones, their counts, and the codes of all in document order; None below least."""
     W = words(col)
     h = W.hashes()
     out = []
     for n in range(1, order + 1):
+        if n < least:
+            out.append(None)
+            continue
         g, m = (h, W.count) if n == 1 else windows(h, W.count, n)
         code, uniq = pd.factorize(g)
+        del g
         rank = np.argsort(uniq)
-        place = np.empty(len(uniq), np.int64)
-        place[rank] = np.arange(len(uniq))
-        code = place[code] if len(code) else code
-        out.append((m, uniq[rank], np.bincount(code, minlength=len(uniq)), code))
+        place = np.empty(len(uniq), np.int32)
+        place[rank] = np.arange(len(uniq), dtype=np.int32)
+        code = place[code] if len(code) else code.astype(np.int32)
+        out.append((m, uniq[rank], np.bincount(code, minlength=len(uniq)).astype(np.uint32), code))
     return W.count, out
 
 
@@ -99,36 +103,40 @@ def _send_long(n: int, ranges: int):
     """Requests of a chunk for one n from 3 on, given the totals of shorter ones."""
 
     def run(key: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
-        _, grams = _grams(_text(docs), n)
-        others = _others(grams, got, n - 1)
-        wanted, (_, uniq, count, _) = _wanted(grams, others, n), grams[n - 1]
+        _, grams = _grams(_text(docs), n, 2)
+        wanted, (_, uniq, count, _) = _wanted(grams, _others(grams, got, n - 1), n), grams[n - 1]
+        del grams
         return _sent(_requests(key[0].as_py(), n, uniq[wanted], count[wanted], ranges))
 
     return run
 
 
 def _add(key: tuple, t: pa.Table) -> pa.Table:
-    """A hash range: totals of the n-grams of each chunk, in its order; words: all unigram occurrences in the range."""
+    """A hash range: how often other chunks hold the n-grams of each chunk, in its order; words: all unigram occurrences in the range."""
     n = t.column("n").to_numpy()
     chunk, grams, counts = t.column("chunk").to_pylist(), t.column("grams").to_pylist(), t.column("counts").to_pylist()
     rows = []
     for k in np.unique(n).tolist():
         at = np.flatnonzero(n == k).tolist()
         g = [np.cumsum(_unpack(grams[i], "<u8"), dtype=np.uint64) for i in at]
-        c = np.concatenate([_unpack(counts[i], "<u4") for i in at])
+        c = np.concatenate([_unpack(counts[i], "<u4") for i in at]).astype(np.uint64)
         code, uniq = pd.factorize(np.concatenate(g))
-        total = np.bincount(code, weights=c, minlength=len(uniq)).astype("<u8")[code] if len(code) else np.zeros(0, "<u8")
+        elsewhere = np.bincount(code, weights=c, minlength=len(uniq)).astype("<u8")[code] - c if len(code) else c
         ends = np.cumsum([len(x) for x in g])
-        rows += [(chunk[i], k, key[0].as_py(), _pack(total[e - len(x) : e]), int(c.sum()) if k == 1 else 0) for i, x, e in zip(at, g, ends)]
+        rows += [(chunk[i], k, key[0].as_py(), _pack(elsewhere[e - len(x) : e]), int(c.sum()) if k == 1 else 0) for i, x, e in zip(at, g, ends)]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "totals", "words"])
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "elsewhere", "words"])
 
 
-def _own(m: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
-    """How often each n-gram occurs in its own document."""
-    doc = np.repeat(np.arange(len(m)), m)
-    pair, _ = pd.factorize(doc * max(size, 1) + code)
-    return np.bincount(pair)[pair] if len(pair) else np.zeros(0, np.int64)
+def _own(m: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How often each n-gram occurs in its own document; count: in the chunk."""
+    out = np.ones(len(code), np.int64)
+    again = np.flatnonzero(count[code] > 1)
+    if len(again):
+        doc = np.repeat(np.arange(len(m)), m)[again]
+        pair, _ = pd.factorize(doc * len(count) + code[again])
+        out[again] = np.bincount(pair)[pair]
+    return out
 
 
 def _within(grams: list, n: int) -> np.ndarray:
@@ -146,21 +154,23 @@ def _wanted(grams: list, others: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _others(grams: list, got: pa.Table, order: int) -> list[np.ndarray]:
-    """For k = 1..order: how often the k-gram that begins at each place occurs in other documents."""
-    n, part = got.column("n").to_numpy(), got.column("part").to_numpy()
-    packed = got.column("totals").to_pylist()
-    out: list[np.ndarray] = []
-    for k, (m, uniq, _, code) in enumerate(grams[:order], 1):
+def _others(grams: list, got: pa.Table, order: int) -> list[np.ndarray | None]:
+    """For k = 1..order: how often the k-gram that begins at each place occurs in other documents; None where grams has none."""
+    n, part, packed = got.column("n").to_numpy(), got.column("part").to_numpy(), got.column("elsewhere")
+    out: list[np.ndarray | None] = []
+    for k, held in enumerate(grams[:order], 1):
+        if held is None:
+            out.append(None)
+            continue
+        m, uniq, count, code = held
         at = np.flatnonzero(n == k)
-        total = np.concatenate([np.zeros(0, np.int64), *(_unpack(packed[i], "<u8").astype(np.int64) for i in at[np.argsort(part[at])])])
-        if k <= 2:
-            out.append(total[code] - _own(m, code, len(uniq)))
-        else:
-            wanted = _wanted(grams, out, k)
+        elsewhere = np.concatenate([np.zeros(0, np.uint64), *(_unpack(packed[i].as_py(), "<u8") for i in at[np.argsort(part[at])].tolist())]).astype(np.int64)
+        if k > 2:
             full = np.zeros(len(uniq), np.int64)
-            full[wanted] = total
-            out.append(np.where(wanted[code], full[code] - _own(m, code, len(uniq)), 0))
+            full[_wanted(grams, out, k)] = elsewhere  # what it did not ask for is held by no other document
+            elsewhere = full
+        here = count[code] - _own(m, code, count)  # in other documents of this chunk
+        out.append(elsewhere[code] + here)
     return out
 
 
@@ -190,7 +200,7 @@ def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     chunks = stored_bytes(docs) // CHUNK_BYTES + 1
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     dealt = rows.repartition(parallelism(spark, docs), "chunk")
-    request, answer = "chunk INT, n INT, part INT, grams BINARY, counts BINARY", "chunk INT, n INT, part INT, totals BINARY, words BIGINT"
+    request, answer = "chunk INT, n INT, part INT, grams BINARY, counts BINARY", "chunk INT, n INT, part INT, elsewhere BINARY, words BIGINT"
     back = dealt.groupBy("chunk").applyInArrow(_send_short(order, chunks), request).groupBy("part").applyInArrow(_add, answer)
     for n in range(3, order + 1):
         sent = dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_send_long(n, chunks), request)
