@@ -65,14 +65,19 @@ def _cuts(uniq: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(uniq, edges), [len(uniq)]))
 
 
+_CODEC = pa.Codec("zstd", 1)
+
+
 def _pack(a: np.ndarray) -> bytes:
-    """The first bytes of all values, then the second ones, and so on: those that are zero throughout compress to nothing."""
-    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    """How many values, and the first bytes of all, then the second ones, and so on, compressed: small numbers take few bits each."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(a).to_bytes(4, "little") + _CODEC.compress(planes, asbytes=True)
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(b[:4], "little")
+    planes = np.frombuffer(_CODEC.decompress(b[4:], n * size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
 
 
 def _requests(chunk: int, n: int, uniq: np.ndarray, count: np.ndarray, ranges: int) -> list[tuple]:
