@@ -36,6 +36,7 @@ CACHE_WORDS = 1_000_000
 #: Bytes of text that are encoded at a time.
 SLICE = 2 << 20
 _PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 _kept: dict[str, tuple] = {}
 
 
@@ -50,9 +51,10 @@ class WordEncoder:
 
     Exact for tokenizers whose pre-tokenizer never joins what ASCII white space parts and drops it,
     whose added tokens hold no white space, and that lower-case: then the ids of a
-    text are those of its white-space-separated words in a row. Lower-casing ASCII first and
-    cutting off a tail of ASCII punctuation changes no ids either; both are skipped
-    where a word may hold an added token (`<|`) or a combining accent.
+    text are those of its white-space-separated words in a row. Lower-casing ASCII first changes no ids
+    either, nor does cutting off a tail of ASCII punctuation that follows an ASCII letter or digit, where a run of
+    symbols always begins; after anything else (a symbol, a mark, a control character) the tail may continue a run, and the
+    word stays whole. Both are skipped where a word may hold an added token (`<|`) or a combining accent.
 
     The cache is arrays: sorted hashes of pieces, and where the ids of each lie. Only pieces that it lacks
     become Python objects.
@@ -108,7 +110,7 @@ def first_places(code: np.ndarray, n: int) -> np.ndarray:
 
 
 def _split(W: Words, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of the distinct words, lower-cased, and where the punctuation that ends each begins; odd words are left as they are."""
+    """The bytes of the distinct words, lower-cased, and where the punctuation after an ASCII letter or digit that ends each begins; odd words are left as they are."""
     data, start, end = LOWER[W.data], W.start[first], W.end[first]
     mark = (W.data == 0xCC) | (W.data == 0xCD)
     mark[:-1] |= (W.data[:-1] == ord("<")) & (W.data[1:] == ord("|"))
@@ -121,6 +123,9 @@ def _split(W: Words, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
         live = live[_PUNCT[data[cut[live] - 1]]]
         cut[live] -= 1
         live = live[cut[live] > start[live]]
+    # after any other byte the punctuation may be the rest of a longer run of symbols
+    joined = (cut > start) & ~_ALNUM[data[cut - 1]]
+    cut[joined] = end[joined]
     return data, cut, end
 
 

@@ -289,6 +289,16 @@ def test_tokens(spark, edges, tmp_path, monkeypatch, which):
     assert [(r[0], r[1], r[2], zlib.crc32(bytes(r[3]))) for r in raw] == want
 
 
+def test_tokens_of_tails_after_other_than_ascii_letters():
+    enc = tokens.WordEncoder.get(tokens.tokenizer_path())
+    heads = ["stop\u201d", "wait\u2026", "100\u20ac", "fin\u00bb", "\U0001f600", "\u0939\u093f\u0928\u094d\u0926\u0940", "\u0130", "a\x01", "x\u200b", "\u00e9", "e\u0301", "\u4e2d", "\u0663", "A1", "it's", "<|endoftext|>", "\u00d7", "\u2014", ""]
+    texts = [h + t for h in heads for t in (".", "!!", ",\u201d.", "'", "')")] + [" ".join(h + "!" for h in heads)]
+    ids, n = tokens.encode_texts(pa.array(texts), enc)
+    got = np.split(ids, np.cumsum(n)[:-1])
+    for t, g in zip(texts, got):
+        assert g.tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [1], ascii(t)
+
+
 def test_tokens_empty_and_damaged(spark, edges, none, tmp_path):
     tokens.write(none, f"file://{tmp_path}/e")
     assert tokens.digests(spark, f"file://{tmp_path}/e").count() == 0
