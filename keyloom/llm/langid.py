@@ -30,8 +30,10 @@ from keyloom.llm.session import ship
 from keyloom.llm.text import Words, slices, within, words
 
 FEATURES = 1 << 16
-#: Training texts of each language, words of each that are used, and languages, at most.
-TRAIN_TEXTS, TRAIN_WORDS, LANGUAGES = 600, 120, 64
+#: Training texts of each language and words of each that are used, at most. Every language is learned.
+TRAIN_TEXTS, TRAIN_WORDS = 600, 120
+#: Words whose scores are summed at once, and bytes of text labelled at once, times languages.
+SCORED, LABELLED = 1 << 17, 32 << 20
 UND = "und"
 _LETTERS = np.zeros(256, bool)
 _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = True
@@ -95,14 +97,15 @@ def posteriors(score: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[
 
 def fit(texts: list[tuple[str, str]], seed: int = 3, rounds: int = 3, span: int = 24, batch: int = 64) -> Model:
     """texts: (label, text)."""
-    labels = sorted({lang for lang, _ in texts})[:LANGUAGES]
+    labels = sorted({lang for lang, _ in texts})
     k = len(labels)
     m = Model(labels, np.zeros((FEATURES, k)), np.zeros((k, k)), np.zeros(k))
     if not k:
         return m
     rng = np.random.default_rng(seed)
     W = words(pc.utf8_lower(pa.array([t for _, t in texts], pa.string())), _LETTERS)
-    y = np.array([labels.index(lang) if lang in labels else -1 for lang, _ in texts])[W.doc]
+    number = {lang: i for i, lang in enumerate(labels)}
+    y = np.array([number[lang] for lang, _ in texts])[W.doc]
     f, n = word_features(W, np.arange(len(W.start)))
     f_at = np.cumsum(n) - n
     code = {lang: np.flatnonzero((y[W.first[:-1][W.count > 0]] == i)) for i, lang in enumerate(labels)}
@@ -160,8 +163,9 @@ def label(col: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
     f, n = word_features(W, first_of)
     e = np.empty((len(uniq), k), np.float32)
     cuts = np.concatenate(([0], np.cumsum(n)))
-    for i in range(0, len(uniq), 1 << 15):
-        j = min(i + (1 << 15), len(uniq))
+    size = max(1, SCORED // max(k, 4))
+    for i in range(0, len(uniq), size):
+        j = min(i + size, len(uniq))
         e[i:j] = np.add.reduceat(m.weight[f[cuts[i] : cuts[j]]], cuts[i:j] - cuts[i])
     e = np.exp(e - e.max(1, keepdims=True))
     order = np.argsort(-W.count, kind="stable")
@@ -211,10 +215,10 @@ def predict(col: pa.Array, m: Model) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_TEXTS) -> Model:
-    """From at most about `rows` texts of each of the most frequent languages, those with the least hashes of doc_id, and a stretch of each."""
+    """From at most about `rows` texts of each language, those with the least hashes of doc_id, and a stretch of each."""
     ship(docs.sparkSession)
     ok = docs.where((learn.fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
-    counts = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return fit([])
     share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["n"])))))
@@ -232,7 +236,7 @@ def identify(docs: DataFrame, m: Model) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=LABELLED // max(len(m.labels), 4)):
             lang, score = predict(b.column("text"), m)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -88,6 +88,21 @@ def test_language(spark, edges, none):
     assert {r.lang_pred for r in langid.identify(edges, langid.train(none)).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    # 70 languages, each of its own two letters; the last has the fewest texts
+    own = lambda i: (chr(97 + i % 10), chr(107 + i // 10))
+    rng = random.Random(2)
+    word = lambda i: "".join(rng.choice(own(i)) for _ in range(3)) + "".join(own(i))
+    rows = [(100 * i + j, " ".join(word(i) for _ in range(30)), f"l{i:02}", "a") for i in range(70) for j in range(16 if i < 69 else 12)]
+    docs = frame(spark, rows)
+    m = langid.train(docs)
+    assert m.labels == [f"l{i:02}" for i in range(70)]
+    want = {r[0]: r[2] for r in rows}
+    got = langid.identify(docs, m).where("held_out").collect()
+    assert {want[r.doc_id] for r in got if want[r.doc_id] == r.lang_pred} >= {f"l{i}" for i in range(64, 70)}
+    assert sum(r.lang_pred == want[r.doc_id] for r in got) >= 0.95 * len(got)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     m = langid.Model(["a", "b", "c"], rng.normal(0, 1, (langid.FEATURES, 3)), rng.normal(0, 1, (3, 3)), rng.normal(0, 1, 3))
