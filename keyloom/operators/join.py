@@ -129,7 +129,7 @@ def wide_sum(joined: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def late_materialized(r: DataFrame, s: DataFrame, r_id: str, s_id: list[str]) -> DataFrame:
-    """Join on the narrow (key, id) columns, then fetch each side's wide columns by its row id. Ids must be distinct on r."""
+    """Join on the narrow (key, id) columns, then fetch each side's wide columns by its row id. Ids must be distinct on each side."""
     narrow = r.select("key", r_id).join(s.select("key", *s_id), "key").select(r_id, *s_id)
     return narrow.join(r.drop("key"), r_id).join(s.drop("key"), s_id)
 

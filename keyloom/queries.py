@@ -87,10 +87,10 @@ def q05(spark, d):
 @query("q05b_late_materialize", WIDE)
 def q05b(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("rid"), "o_custkey")
-    # (l_orderkey, l_linenumber) repeats in these data, so the probe side keeps its columns and only the build side is fetched late.
-    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), "l_partkey", "l_suppkey", "l_linenumber")
-    narrow = li.join(o.select("key", "rid"), "key")
-    return J.wide_sum(narrow.drop("key").join(o.drop("key"), "rid"), ["o_custkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    # (l_orderkey, l_linenumber) repeats in these data; a row's file and place in it do not, and both reads of the table agree on them.
+    place = [F.col("_metadata.file_path").alias("s_file"), F.col("_metadata.row_index").alias("s_row")]
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), *place, "l_partkey", "l_suppkey", "l_linenumber")
+    return J.wide_sum(J.late_materialized(o, li, "rid", ["s_file", "s_row"]), ["o_custkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
 @query("q06_perfect_hash", "SELECT CAST(sum(p_size * l_suppkey) AS BIGINT) AS agg FROM part JOIN lineitem ON p_partkey = l_partkey")

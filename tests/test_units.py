@@ -171,3 +171,18 @@ def test_skewed_join_with_salt(spark):
     small = G.unique(spark, 3000, 3000)
     a, b, on = radix.salted(big, small, "key", 8)
     assert a.join(b, on).count() == big.join(small, "key").count()
+
+
+def test_late_materialized_on_both_sides(spark):
+    r = spark.createDataFrame([(1, 10, 100), (1, 11, 101), (2, 12, 102), (None, 13, 103)], "key INT, rid INT, a INT")
+    s = spark.createDataFrame([(1, "f", 0, 7), (1, "f", 1, 7), (2, "g", 0, 8), (3, "g", 1, 9), (None, "g", 2, 9)], "key INT, s_file STRING, s_row INT, b INT")
+    got = J.late_materialized(r, s, "rid", ["s_file", "s_row"]).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == [(100, 7), (100, 7), (101, 7), (101, 7), (102, 8)]
+
+
+def test_q05b_fetches_both_sides_late(spark):
+    from keyloom import queries as Q
+
+    plan = Q.QUERIES["q05b_late_materialize"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.split("\n") if "FileScan" in x]
+    assert len(scans) == 4 and sum("l_partkey" in x for x in scans) == 1 and sum("o_custkey" in x for x in scans) == 1
