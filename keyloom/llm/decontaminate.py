@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -240,11 +241,16 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     first, second = next(benches), next(benches, None)
     if second is None:
         return rows.mapInArrow(_table(first), f"doc_id {kind}, {OUT}")
-    # a benchmark of many blocks: each is searched in its turn, and what was found of a document is put together
+    return _by_blocks(rows, chain((first, second), benches)).drop("th")
+
+
+def _by_blocks(rows: DataFrame, benches: Iterator[Bench]) -> DataFrame:
+    """doc_id, th (the text's hash) and OUT: each block of a large benchmark is searched in its turn, and what was found of a document is put together."""
+    kind = dict(rows.dtypes)["doc_id"]
     keyed = rows.withColumn("th", F.xxhash64("text"))
     schema = f"doc_id {kind}, th BIGINT, spans ARRAY<ARRAY<BIGINT>>, items ARRAY<STRING>, longest_match BIGINT, longest_item STRING, longest_at BIGINT"
-    found = keyed.mapInArrow(_pieces(first), schema)
-    for b in (second, *benches):
+    found = keyed.mapInArrow(_pieces(next(benches)), schema)
+    for b in benches:
         found = found.unionAll(keyed.mapInArrow(_pieces(b), schema))
     found = found.dropDuplicates(["doc_id", "th", "items", "spans"])
     best = F.min(F.struct((-F.col("longest_match")).alias("less"), "longest_item", "longest_at"))
@@ -255,7 +261,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     hit = F.coalesce(F.col("n_hit"), F.lit(0))
     n = F.col("n_words")
     return j.select(
-        "d.doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
+        "d.doc_id", "d.th", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256).alias("items_sha256"), ((hit > 0) & (hit * 20 >= n)).alias("contaminated"),
         F.coalesce(-F.col("best.less"), F.lit(0)).alias("longest_match"), "best.longest_item", "best.longest_at",
     )
@@ -273,8 +279,10 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     out = docs
     first, second = next(benches), next(benches, None)
     if second is not None:
-        bad, th = report(docs, items, window).where("contaminated").select("doc_id").distinct(), docs
-        return th.join(bad, th["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        # rows may share a doc_id or have none: a row goes by its own text here too
+        rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        bad = _by_blocks(rows, chain((first, second), benches)).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__t"]), "left_anti")
 
     @F.arrow_udf("boolean")
     def bad(text: pa.Array) -> pa.Array:

@@ -461,6 +461,18 @@ def test_decontamination_against_brute_force(spark, edges, none, monkeypatch, bl
 # pipeline
 
 
+@pytest.mark.parametrize("block", [16 << 20, 40])
+def test_decontamination_goes_by_row(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    leak, leak2 = (" ".join(f"{c}{i}" for i in range(20)) for c in "wv")
+    rows = [(1, leak, "en", "a"), (1, "clean one", "en", "a"), (None, leak2, "en", "a"), (None, "clean two", "en", "a"), (None, None, "en", "a"), (2, leak, "en", "a"), (2, leak, "en", "a"), (3, None, "en", "a")]
+    bench = spark.createDataFrame([(1, leak), (2, leak2), (3, "other")], "item_id BIGINT, text STRING")
+    df = frame(spark, rows)
+    got = decontaminate.clean(df, bench)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, "clean one"), (None, "clean two"), (None, None), (3, None)])
+
+
 def test_pipeline(spark, tmp_path):
     P = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
