@@ -71,3 +71,8 @@ def murmur_finalizer(x: Column, mask: int = MURMUR_BUCKET_MASK) -> Column:
     h = mul32(h.bitwiseXOR(F.shiftright(h, 16)), MURMUR_MUL_1)
     h = mul32(h.bitwiseXOR(F.shiftright(h, 13)), MURMUR_MUL_2)
     return h.bitwiseXOR(F.shiftright(h, 16)).bitwiseAND(F.lit(mask))
+
+
+def murmur32(x: Column) -> Column:
+    """All 32 bits of the finalizer: a bijection of the low 32 bits of x."""
+    return murmur_finalizer(x, MASK32)

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.bits import MASK32, wrap32
-from keyloom.operators.radix import pass_two
+from keyloom.operators.radix import BUCKET_ROWS, CHAIN_BUCKETS, histogram, radix_partition
+from keyloom.operators.radix import chained as cut_chains
+from keyloom.plans.schedule import batches_for
 from keyloom.plans.strategy import checked_hint, choose_strategy
 
 Joined = Callable[[DataFrame, DataFrame], DataFrame]
@@ -57,18 +59,16 @@ def radix_joined(bits: tuple[int, int] = (3, 3)) -> Joined:
     """Both sides dealt by the radix digits of the key, joined on (pid, key) without a further exchange."""
 
     def run(r: DataFrame, s: DataFrame) -> DataFrame:
-        n = 1 << sum(bits)
-        a, b = _sides(r, s)
-        a, b = (x.withColumn("pid", pass_two(F.col("key"), bits)).repartition(n, "pid") for x in (a, b))
+        a, b = (radix_partition(x, "key", bits) for x in _sides(r, s))
         return b.join(a.hint("shuffle_hash"), ["pid", "key"]).drop("pid")
 
     return run
 
 
 def csr(r: DataFrame, s: DataFrame, buckets: int = 1 << 20) -> DataFrame:
-    """Build side gathered into a list for each hash, probe side scanning its list: the histogram-and-offset table.
+    """Build side gathered into lists for each hash, probe side scanning them: the histogram-and-offset table.
 
-    The lists are cut by a salt of the key's high part, so that a bucket's list stays small.
+    A bucket's list is cut into up to 64 by a hash of the row.
     """
     a, b = _sides(r, s)
     h = lambda c: F.pmod(F.hash(c), F.lit(buckets))
@@ -163,6 +163,38 @@ def coprocess_counters(r: DataFrame, s: DataFrame, host_bits: int = 4, segments:
     return j.groupBy(host.alias("host_part"), F.expr(f"s_pos div {length}").alias("segment")).agg(F.count("*").alias("matches"))
 
 
+def coprocess_batches(r: DataFrame, s: DataFrame, folder: str, host_bits: int = 4) -> DataFrame:
+    """(batch, host_part, r_payload, s_payload): both sides are dealt to host partitions on storage, the partitions of r packed into resident batches, and batch by
+    batch is joined and written. A batch reads its own partitions only; what is in memory at a time is a batch, however large the sides are.
+    """
+    spark = r.sparkSession
+    host = F.col("key").bitwiseAND(F.lit((1 << host_bits) - 1))
+    for name, side in (("r", r), ("s", s)):
+        side.withColumn("host_part", host.cast("int")).write.partitionBy("host_part").parquet(f"{folder}/{name}")
+    counts = {x["part"]: x["cnt"] for x in histogram(r, host).collect()}  # a row for each host partition
+    unit = max(1, 1 + sum(counts.values()) // max(1, len(counts)))
+    a, b = (spark.read.schema(f"{_schema(x)}, host_part INT").parquet(f"{folder}/{n}") for n, x in (("r", r), ("s", s)))
+    for k, batch in enumerate(batches_for(counts, unit)):
+        mine = F.col("host_part").isin([i.id for i in batch])
+        left = a.where(mine).select("host_part", "key", F.col("payload").alias("r_payload"))
+        right = b.where(mine).select("host_part", "key", F.col("payload").alias("s_payload"))
+        right.join(left.hint("merge"), ["host_part", "key"]).select("host_part", "r_payload", "s_payload").write.parquet(f"{folder}/out/batch={k}")
+    if not counts:
+        return r.limit(0).select(F.lit(0).alias("batch"), host.cast("int").alias("host_part"), F.col("payload").alias("r_payload"), F.col("payload").alias("s_payload"))
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"{c} {t}" for c, t in df.dtypes)
+
+
+def chained(r: DataFrame, s: DataFrame, rows: int = BUCKET_ROWS * CHAIN_BUCKETS) -> DataFrame:
+    """The join of a skewed probe side s: keys of more than `rows` rows are cut into sub-chains, and each is a task's work of its own."""
+    a, b = _sides(r, s)
+    big, small, on = cut_chains(b, a, "key", rows)
+    return big.join(small.hint("merge"), on).drop("__chain")
+
+
 def counter_totals(counters: DataFrame) -> DataFrame:
     m = F.col("matches")
     return counters.agg(F.sum(m).cast("bigint").alias("total"), F.min(m).alias("least"), F.max(m).alias("most"))

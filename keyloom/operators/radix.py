@@ -10,6 +10,8 @@ from keyloom.operators.scan import exclusive_scan
 
 #: Default bits of the first and second pass, rows of a bucket, buckets of a sub-chain.
 RADIX_BITS, BUCKET_ROWS, CHAIN_BUCKETS = (8, 5), 4096, 2
+#: Rows of a table of hot keys up to which it is broadcast.
+BROADCAST_KEYS = 1_000_000
 
 
 def pass_one(key: Column, bits: tuple[int, int] = RADIX_BITS) -> Column:
@@ -64,3 +66,20 @@ def salted(big: DataFrame, small: DataFrame, key: str, salts: int) -> tuple[Data
     a = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     b = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a, b, [key, "__salt"]
+
+
+def chained(big: DataFrame, small: DataFrame, key: str = "key", rows: int = BUCKET_ROWS * CHAIN_BUCKETS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides cut by sub-chains: a key with more than `rows` rows in `big` goes to as many tasks as it has sub-chains, and its rows
+    of `small` are repeated for each. Other keys have one sub-chain and are not repeated. Returns the join columns too.
+
+    Keys of several sub-chains are fewer than the rows of `big` by the factor `rows`; their table is broadcast if its
+    size allows, counted, and joined by sorting beyond that.
+    """
+    info = histogram(big, F.col(key), "__key", "__n").where(F.col("__n") > rows)
+    chains = info.select("__key", F.expr(f"cast((__n + {rows - 1}) div {rows} as int)").alias("__chains")).persist()
+    few = F.broadcast(chains) if chains.count() <= BROADCAST_KEYS else chains.hint("merge")
+    n = F.coalesce("__chains", F.lit(1))
+    # by a hash of the whole row, which a task that runs again finds the same
+    a = big.join(few, F.col(key) == F.col("__key"), "left").withColumn("__chain", F.pmod(F.xxhash64(*big.columns), n).cast("int")).drop("__key", "__chains")
+    b = small.join(few, F.col(key) == F.col("__key"), "left").withColumn("__chain", F.explode(F.sequence(F.lit(0), n - 1))).drop("__key", "__chains")
+    return a, b, [key, "__chain"]

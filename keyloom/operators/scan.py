@@ -46,9 +46,38 @@ def _levels(rows: DataFrame, lo: int, hi: int, block: int, suffix: bool) -> Data
 
 
 def segmented_scan(df: DataFrame, pos: str, value: str, segment: Column) -> DataFrame:
-    """(segment, pos, scan): an exclusive scan that begins anew in each segment."""
-    rows = df.select(segment.cast("bigint").alias("segment"), F.col(pos).cast("bigint").alias("pos"), F.col(value).cast("bigint").alias("v"))
-    return rows.select("segment", "pos", _before("v", "segment").alias("scan"))
+    """(segment, pos, scan): an exclusive scan that begins anew in each segment; segments are contiguous ranges of positions.
+
+    The whole is scanned level by level and a segment's base, the scan at its first position, taken off: a
+    segment that holds most rows is no window of its own.
+    """
+    rows = df.select(F.col(pos).cast("bigint").alias("pos"), F.col(value).cast("bigint").alias("v"), segment.cast("bigint").alias("segment"))
+    return _rebased(exclusive_scan(rows, "pos", "v").join(rows.select("pos", "segment"), "pos"))
+
+
+def _rebased(scanned: DataFrame) -> DataFrame:
+    """(segment, pos, scan) from (segment, pos, scan) of the whole."""
+    base = scanned.groupBy("segment").agg(F.min_by("scan", "pos").alias("__base"))
+    return scanned.join(base, "segment").select("segment", "pos", (F.col("scan") - F.col("__base")).alias("scan"))
+
+
+def bordered_scan(df: DataFrame, pos: str, value: str, borders: DataFrame) -> DataFrame:
+    """(segment, pos, scan) by a table of borders (border BIGINT): a segment begins at each, and its number is the number of borders up to it.
+
+    Borders are scanned with the rows, as rows that count one and come before the row at their position, so no range join is needed.
+    """
+    rows = df.select(F.col(pos).cast("bigint").alias("pos"), F.col(value).cast("bigint").alias("v"))
+    marks = borders.select((F.col("border") * 2).alias("at"), F.lit(1).cast("bigint").alias("one")).distinct()
+    both = marks.unionAll(rows.select((F.col("pos") * 2 + 1).alias("at"), F.lit(0).cast("bigint").alias("one")))
+    number = exclusive_scan(both, "at", "one").where(F.pmod("pos", F.lit(2)) == 1).select(F.expr("(pos - 1) div 2").alias("pos"), F.col("scan").alias("segment"))
+    return _rebased(exclusive_scan(rows, "pos", "v").join(number, "pos"))
+
+
+def interleaved_scan(df: DataFrame, pos: str, value: str, ranges: int, block: int = BLOCK) -> DataFrame:
+    """(block, range, pos, scan): within each block of positions, `ranges` interleaved exclusive scans; range is the position modulo their number."""
+    rows = df.select(F.col(pos).cast("bigint").alias("pos"), F.col(value).cast("bigint").alias("v"))
+    cut = rows.withColumn("block", F.floor(F.col("pos") / block)).withColumn("range", F.pmod("pos", F.lit(ranges)))
+    return cut.select("block", "range", "pos", _before("v", "block", "range").alias("scan"))
 
 
 def block_bases(df: DataFrame, pos: str, value: str, block: int = BLOCK) -> DataFrame:

@@ -12,8 +12,8 @@ from keyloom.operators import join as J
 from keyloom.operators import movement, radix, reduce, scan
 from keyloom.plans import schedule
 from keyloom.sources import generators as G
-from keyloom.sources.relations import relation, table
-from keyloom.streaming.probe import stream_probe
+from keyloom.sources.relations import read_raw, relation, table, write_raw
+from keyloom.streaming.probe import shared_folder, stream_materialize, stream_probe
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,6 +187,17 @@ def q14b(spark, d):
     return J.counter_totals(q14(spark, d))
 
 
+@query(
+    "q14c_coprocess_batches",
+    "SELECT CAST(o_custkey & 15 AS INTEGER) AS host_part, count(*) AS matches, CAST(sum(c_nationkey * o_orderkey) AS BIGINT) AS agg FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1",
+)
+def q14c(spark, d):
+    """Co-processing as it runs: host partitions on storage, packed into batches, joined batch by batch."""
+    c = relation(table(spark, d, "customer"), "c_custkey", "c_nationkey")
+    j = J.coprocess_batches(c, relation(table(spark, d, "orders"), "o_custkey", "o_orderkey"), shared_folder(spark, "coprocess"))
+    return j.groupBy("host_part").agg(F.count("*").alias("matches"), F.sum(J.product()).cast("bigint").alias("agg"))
+
+
 @query(
     "q15_segment_probe",
     "SELECT o_orderkey // ((SELECT count(*) FROM customer) // 4) AS segment, count(*) AS matches, 2 * count(*) AS slots "
@@ -202,6 +213,13 @@ def q15s(spark, d):
     return stream_probe(spark, _o(spark, d), f"{d}/lineitem.parquet", schema, "l_orderkey", "l_suppkey")
 
 
+@query("q15m_stream_materialize", f"SELECT o_custkey AS r_payload, l_suppkey AS s_payload {OL}")
+def q15m(spark, d):
+    """Every match, written segment by segment by the streaming probe."""
+    schema = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").schema
+    return stream_materialize(spark, _o(spark, d), f"{d}/lineitem.parquet", schema, "l_orderkey", "l_suppkey", shared_folder(spark, "segments")).drop("segment")
+
+
 @query("q16_cpu_join", f"SELECT count(*) AS s, CAST(sum(l_orderkey) AS BIGINT) % 4294967296 AS g {OL}")
 def q16(spark, d):
     return J.count_and_key_sum(J.join(_o(spark, d), _l(spark, d)))
@@ -231,6 +249,22 @@ def q17c(spark, d):
     return scan.segmented_scan(table(spark, d, "orders"), "o_orderkey", "o_custkey", F.expr("o_orderkey div 1024"))
 
 
+@query(
+    "q17e_bordered_scan",
+    "WITH b AS (SELECT o_orderkey AS pos, o_custkey AS v, CAST(sum(CASE WHEN o_custkey % 50 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey) AS BIGINT) AS segment FROM orders) "
+    "SELECT segment, pos, CAST(coalesce(sum(v) OVER (PARTITION BY segment ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS scan FROM b",
+)
+def q17e(spark, d):
+    """Segments by a table of borders of no regular distance."""
+    o = table(spark, d, "orders")
+    return scan.bordered_scan(o, "o_orderkey", "o_custkey", o.where("o_custkey % 50 = 0").select(F.col("o_orderkey").alias("border")))
+
+
+@query("q17f_interleaved_scan", _scan_sql("UNBOUNDED PRECEDING AND 1 PRECEDING", "PARTITION BY o_orderkey // 1024, o_orderkey % 3 ").replace("SELECT ", "SELECT o_orderkey // 1024 AS block, o_orderkey % 3 AS range, ", 1))
+def q17f(spark, d):
+    return scan.interleaved_scan(table(spark, d, "orders"), "o_orderkey", "o_custkey", 3)
+
+
 @query(
     "q17d_two_level_scan",
     "WITH b AS (SELECT o_orderkey // 1024 AS block, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders GROUP BY 1) "
@@ -297,14 +331,50 @@ def q23(spark, d):
     return ids.orderBy(F.col("o_orderkey").desc())
 
 
-@query("q24_pack_batches")
-def q24(spark, d):
-    """Sixteen host partitions of orders, packed into resident batches; tested against brute force."""
+_ITEMS = (
+    "h AS (SELECT o_custkey & 15 AS part, count(*) AS n FROM orders GROUP BY 1), u AS (SELECT greatest(1, 1 + CAST(sum(n) AS BIGINT) // greatest(1, count(*))) AS unit FROM h), "
+    "i AS (SELECT part, n, CASE WHEN n <= unit THEN 1 ELSE 2 END AS weight FROM h, u), "
+    "sub AS (SELECT CAST([] AS BIGINT[]) AS ids, CAST(-1 AS BIGINT) AS last, 0 AS w, CAST(0 AS BIGINT) AS gain "
+    "UNION ALL SELECT list_append(ids, part), part, w + weight, gain + n FROM sub JOIN i ON part > last AND w + weight <= 5)"
+)
+
+
+def _host_parts(spark, d) -> tuple[dict[int, int], int]:
+    """Rows of the sixteen host partitions of orders, and the unit of weight."""
     h = radix.histogram(table(spark, d, "orders"), bits.digit(F.col("o_custkey"), 0, 4))
     counts = {r["part"]: r["cnt"] for r in h.collect()}  # 16 rows at most
-    unit = max(1, 1 + sum(counts.values()) // max(1, len(counts)))
-    rows = [(b, i.id, i.weight) for b, batch in enumerate(schedule.batches_for(counts, unit)) for i in batch]
-    return spark.createDataFrame(rows, "batch INT, part BIGINT, weight INT")
+    return counts, max(1, 1 + sum(counts.values()) // max(1, len(counts)))
+
+
+def _batches(spark, batches) -> DataFrame:
+    return spark.createDataFrame([(b, i.id, i.weight) for b, batch in enumerate(batches) for i in batch], "batch INT, part BIGINT, weight INT")
+
+
+@query(
+    "q24_pack_batches",
+    f"WITH RECURSIVE {_ITEMS}, best AS (SELECT ids FROM sub ORDER BY gain DESC, len(ids), list_reverse(ids) LIMIT 1), "
+    "rest AS (SELECT part, weight, row_number() OVER (PARTITION BY weight ORDER BY part) - 1 AS k FROM i, best WHERE NOT list_contains(ids, part)), "
+    "heavy AS (SELECT count(*) AS m FROM rest WHERE weight = 2) "
+    "SELECT 0 AS batch, part, weight FROM i, best WHERE list_contains(ids, part) UNION ALL SELECT CAST(1 + k AS INTEGER), part, weight FROM rest WHERE weight = 2 "
+    "UNION ALL SELECT CAST(CASE WHEN k < 3 * m THEN 1 + k // 3 ELSE 1 + m + (k - 3 * m) // 5 END AS INTEGER), part, weight FROM rest, heavy WHERE weight = 1",
+)
+def q24(spark, d):
+    """Sixteen host partitions of orders, packed into resident batches."""
+    return _batches(spark, schedule.batches_for(*_host_parts(spark, d)))
+
+
+@query(
+    "q24b_pack_optimal",
+    f"WITH RECURSIVE {_ITEMS}, packs AS (SELECT ids, row_number() OVER (ORDER BY gain DESC, len(ids), list_reverse(ids)) AS rank FROM sub WHERE len(ids) > 0), "
+    "p AS (SELECT 0 AS batch, ids, ids AS used FROM packs WHERE rank = 1 UNION ALL SELECT batch + 1, next, list_concat(used, next) FROM "
+    "(SELECT p.batch, p.used, arg_min(k.ids, k.rank) AS next FROM p JOIN packs k ON NOT list_has_any(k.ids, p.used) GROUP BY p.batch, p.used)) "
+    "SELECT batch, part, weight FROM p JOIN i ON list_contains(p.ids, part)",
+)
+def q24b(spark, d):
+    """The same partitions by repeated knapsacks."""
+    counts, unit = _host_parts(spark, d)
+    total = sum(counts.values()) or 1
+    return _batches(spark, schedule.pack_optimal([schedule.Item(p, 1 if n <= unit else 2, n / total) for p, n in sorted(counts.items())]))
 
 
 @query(
@@ -365,31 +435,80 @@ def g3(spark, d):
     return _facts(r, G.fk_from_pk(part, table(spark, d, "orders").count(), "p_partkey", "p_partkey"))
 
 
-_ZIPF = (
-    "w AS (SELECT p_partkey + 1 AS k, CAST(sum(1000000 // (p_partkey + 1)) OVER (ORDER BY p_partkey) AS BIGINT) AS hi, CAST(1000000 // (p_partkey + 1) AS BIGINT) AS wt FROM part), "
-    "tot AS (SELECT max(hi) AS t FROM w), dr AS (SELECT event_id, (event_id * 48271 + 11) % t AS u FROM events, tot), "
-    "z AS (SELECT event_id, k FROM dr JOIN w ON u < hi AND u >= hi - wt)"
-)
+def _zipf_sql(theta: float, scale: int) -> str:
+    """z (id, k): the events' draws by ranks of part; a draw is the finalizer's 32 bits of the position, scaled to the sum of weights."""
+    x = lambda a, shift: f"xor({a}, {a} >> {shift})"
+    mul = lambda a, c: f"CAST((CAST({a} AS HUGEINT) * {c}) % 4294967296 AS BIGINT)"
+    return (
+        f"w0 AS (SELECT p_partkey + 1 AS k, greatest(CAST(floor({scale}.0::DOUBLE / pow(CAST(p_partkey + 1 AS DOUBLE), {theta}::DOUBLE)) AS BIGINT), 1) AS wt FROM part), "
+        "w AS (SELECT k, wt, CAST(sum(wt) OVER (ORDER BY k) AS BIGINT) AS hi FROM w0), tot AS (SELECT max(hi) AS t FROM w), "
+        f"m0 AS (SELECT event_id, {x('((event_id + 11) & 4294967295)', 16)} AS h FROM events), m1 AS (SELECT event_id, {mul('h', 2246822507)} AS h FROM m0), m2 AS (SELECT event_id, {x('h', 13)} AS h FROM m1), "
+        f"m3 AS (SELECT event_id, {mul('h', 3266489909)} AS h FROM m2), m4 AS (SELECT event_id, {x('h', 16)} AS h FROM m3), "
+        "dr AS (SELECT event_id, CAST(floor(CAST(h AS DOUBLE) / 4294967296.0::DOUBLE * CAST(t AS DOUBLE)) AS BIGINT) AS u FROM m4, tot), "
+        "z AS (SELECT event_id, k FROM dr JOIN w ON u < hi AND u >= hi - wt)"
+    )
 
 
-def _zipf(spark, d):
-    cdf = G.zipf_cdf(table(spark, d, "part").select((F.col("p_partkey") + 1).alias("k")))
-    total = cdf.agg(F.max("hi")).first()[0]
-    draws = table(spark, d, "events").select(F.col("event_id").alias("id"), ((F.col("event_id") * 48271 + 11) % total).alias("u"))
-    return G.zipf(draws, cdf)
+def _zipf(spark, d, theta=1.0, scale=1_000_000):
+    ranks = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("k"))
+    total = G.zipf_total(ranks, scale, theta)
+    draws = table(spark, d, "events").select(F.col("event_id").alias("id"), G.spread(F.col("event_id"), total).alias("u"))
+    return G.zipf(draws, G.zipf_cdf(ranks, scale, theta), total)
 
 
-@query("g4_zipf_draws", f"WITH {_ZIPF} SELECT k, count(*) AS cnt FROM z GROUP BY 1")
-def g4(spark, d):
-    return _zipf(spark, d).groupBy("k").agg(F.count("*").alias("cnt"))
+def _zipf_counts(name: str, theta: float, scale: int) -> None:
+    @query(name, f"WITH {_zipf_sql(theta, scale)} SELECT k, count(*) AS cnt FROM z GROUP BY 1")
+    def counts(spark, d):
+        return _zipf(spark, d, theta, scale).groupBy("k").agg(F.count("*").alias("cnt"))
 
 
-@query("g4b_zipf_join", f"WITH {_ZIPF}, r AS (SELECT i AS key FROM range(0, {N_P}) t(i)), s AS (SELECT k AS key FROM z) {FACTS}")
+_zipf_counts("g4_zipf_draws", 1.0, 1_000_000)
+_zipf_counts("g4c_zipf_half", 0.5, 1_000_000)
+_zipf_counts("g4d_zipf_steep", 1.5, 1_000_000_000)
+
+
+@query("g4b_zipf_join", f"WITH {_zipf_sql(1.0, 1_000_000)}, r AS (SELECT i AS key FROM range(0, {N_P}) t(i)), s AS (SELECT k AS key FROM z) {FACTS}")
 def g4b(spark, d):
     p = table(spark, d, "part").count()
     return _facts(G.unique(spark, p, p), _zipf(spark, d).select(F.col("k").cast("int").alias("key")))
 
 
+_MURMUR = (
+    "a AS (SELECT i AS id, (i + 11) & 4294967295 AS x FROM range(0, {n}) t(i)), b AS (SELECT id, xor(x, x >> 16) AS x FROM a), c AS (SELECT id, CAST((CAST(x AS HUGEINT) * 2246822507) % 4294967296 AS BIGINT) AS x FROM b), "
+    "e AS (SELECT id, xor(x, x >> 13) AS x FROM c), f AS (SELECT id, CAST((CAST(x AS HUGEINT) * 3266489909) % 4294967296 AS BIGINT) AS x FROM e), "
+    "g AS (SELECT id, xor(x, x >> 16) AS x FROM f), perm AS (SELECT id, row_number() OVER (ORDER BY x, id) - 1 AS place FROM g)"
+)
+
+
+@query("g7_permutation", f"WITH {_MURMUR.format(n=N_O)} SELECT * FROM perm")
+def g7(spark, d):
+    return G.permutation(spark, table(spark, d, "orders").count())
+
+
+@query("g8_zipf_permuted", f"WITH {_zipf_sql(1.0, 1_000_000)}, {_MURMUR.format(n=N_P)} SELECT CAST(place + 1 AS INTEGER) AS key, count(*) AS cnt FROM z JOIN perm ON id = k - 1 GROUP BY 1")
+def g8(spark, d):
+    """Zipf draws over a permuted alphabet: the frequent keys are not the small ones."""
+    alphabet = G.permutation(spark, table(spark, d, "part").count()).select((F.col("id") + 1).alias("k"), (F.col("place") + 1).cast("int").alias("key"))
+    return _zipf(spark, d).groupBy("k").agg(F.count("*").alias("cnt")).join(alphabet, "k").select("key", "cnt")
+
+
+@query("q27_skewed_join", f"WITH {_zipf_sql(1.5, 1_000_000_000)} SELECT count(*) AS matches, CAST(sum(p_size * event_id) AS BIGINT) AS agg FROM z JOIN part ON p_partkey + 1 = k")
+def q27(spark, d):
+    """Hot keys cut into sub-chains of at most 64 rows, each joined by itself."""
+    z = _zipf(spark, d, 1.5, 1_000_000_000).select(F.col("k").alias("key"), F.col("id").alias("payload"))
+    p = table(spark, d, "part").select((F.col("p_partkey") + 1).alias("key"), F.col("p_size").alias("payload"))
+    j = J.chained(p, z, 64)
+    return j.agg(F.count("*").alias("matches"), F.sum(J.product()).cast("bigint").alias("agg"))
+
+
+@query("q28_raw_round_trip", "SELECT CAST(o_orderkey AS INTEGER) AS key, 1 AS payload FROM orders")
+def q28(spark, d):
+    """Keys written as raw part files and read back."""
+    out = shared_folder(spark, "raw")
+    n = write_raw(table(spark, d, "orders").select(F.col("o_orderkey").cast("int").alias("key")), out)
+    return read_raw(spark, out, n)
+
+
 @query("g5_replicate", f"WITH {UNIQUE_R}, s AS (SELECT r.key FROM r, range(0, 3) t(i)) {FACTS}")
 def g5(spark, d):
     r = G.unique(spark, *[table(spark, d, "part").count()] * 2)

@@ -112,6 +112,28 @@ def test_bucket_boundaries(spark, n):
     assert radix.decompose_chains(df, F.col("key")).count() == -(-n // 8192)
 
 
+def test_segment_scans(spark):
+    rng = random.Random(5)
+    rows = sorted((p, rng.randint(-9, 9)) for p in rng.sample(range(-3000, 9000), 1500))
+    df = spark.createDataFrame(rows, "p BIGINT, v BIGINT")
+    borders = sorted({rng.randrange(-4000, 9500) for _ in range(40)} | {rows[7][0]})
+
+    def brute(segment):
+        out, ahead = [], {}
+        for p, v in rows:
+            out.append((segment(p), p, ahead.get(segment(p), 0)))
+            ahead[segment(p)] = ahead.get(segment(p), 0) + v
+        return out
+
+    got = scan.bordered_scan(df, "p", "v", spark.createDataFrame([(b,) for b in borders * 2], "border BIGINT"))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == brute(lambda p: sum(b <= p for b in borders))
+    # one segment with nearly all rows
+    got = scan.segmented_scan(df, "p", "v", F.when(F.col("p") < -2900, 0).otherwise(1))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == brute(lambda p: int(p >= -2900))
+    got = {r.pos: (r.block, r.range, r.scan) for r in scan.interleaved_scan(df, "p", "v", 3, 100).collect()}
+    assert got == {p: (p // 100, p % 3, s) for (_, p, s) in brute(lambda p: (p // 100, p % 3))}
+
+
 def test_bits(spark):
     xs = [0, 1, 2, 3, 4, 5, 7, 8, 9, 1023, 1024, 2**31 - 1, 2**31, 2**32 - 1, 12345678]
     df = spark.createDataFrame([(x,) for x in xs], "x BIGINT")
@@ -141,6 +163,95 @@ def test_raw_round_trip(spark, tmp_path):
         R.read_raw(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("n", [0, 1, 9973, 12288])
+def test_raw_files_of_any_length(spark, tmp_path, n):
+    df = spark.range(n, numPartitions=3).select((F.col("id") * 7 - 5000).cast("int").alias("key"))
+    assert R.write_raw(df, f"file://{tmp_path}/raw") == n
+    R.write_raw(df, f"file://{tmp_path}/raw")  # again: the same files
+    assert sorted(r.key for r in R.read_raw(spark, f"file://{tmp_path}/raw", n).collect()) == [7 * i - 5000 for i in range(n)]
+
+
+def test_raw_records():
+    assert [R.record_bytes(4 * n) for n in (1, 9973, 16384, 16384 * 3, 2 * 9973)] == [4, 4 * 9973, 1 << 16, 1 << 16, 4 * 9973]
+    assert R.record_bytes(4 * 1000003) == 4
+
+
+def test_file_names():
+    assert [G.file_name(*x) for x in (("unique", 7), ("pk", 5), ("fk", 9, 5), ("nonunique_s", 3))] == ["unique_7.bin", "pk_R5.bin", "fk_S9_pk_R5.bin", "nonUnique_S3.bin"]
+    with pytest.raises(ValueError):
+        G.file_name("fk", 9)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_permutation(spark, n):
+    got = G.permutation(spark, n).collect()
+    assert sorted(r.place for r in got) == sorted(r.id for r in got) == list(range(n))
+    assert n < 2 or sum(r.place == r.id for r in got) < 20
+
+
+@pytest.mark.parametrize("theta", [0.0, 0.5, 1.0, 1.7, 3.0])
+def test_zipf_loses_no_rank(spark, theta):
+    ranks = spark.range(1, 3001).select(F.col("id").alias("k"))
+    cdf = sorted((r.k, r.lo, r.hi) for r in G.zipf_cdf(ranks, 100_000, theta).collect())
+    assert all(a < b for _, a, b in cdf) and [a for _, a, _ in cdf[1:]] == [b for _, _, b in cdf[:-1]]
+    assert cdf[-1][2] == G.zipf_total(ranks, 100_000, theta)
+    draws = spark.range(-(-cdf[-1][2] // 97)).select("id", (F.col("id") * 97).alias("u"))
+    got = {r.k: r["count"] for r in G.zipf(draws, G.zipf_cdf(ranks, 100_000, theta), cdf[-1][2]).groupBy("k").count().collect()}
+    assert sum(got.values()) == -(-cdf[-1][2] // 97) and all(abs(got.get(k, 0) - (b - a) / 97) <= 1 for k, a, b in cdf)
+
+
+def test_spread_is_even(spark):
+    got = spark.range(20000).select(G.spread(F.col("id"), 10).alias("u")).groupBy("u").count().collect()
+    assert len(got) == 10 and all(abs(r["count"] - 2000) < 250 for r in got)
+    counts = [r["count"] for r in spark.range(20000).select(G.spread(F.col("id"), 20000).alias("u")).groupBy("u").count().collect()]
+    assert max(counts) > 3  # draws are independent, not a permutation
+
+
+def test_sub_chains_of_a_hot_key(spark):
+    s = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).cast("int").alias("key"), F.col("id").alias("payload"))
+    r = spark.createDataFrame([(7, 1), (7, 2), (9, 3), (12, 4)], "key INT, payload INT")
+    big, small, on = radix.chained(s, r, "key", 100)
+    sizes = {(x.key, x["__chain"]): x["count"] for x in big.groupBy(*on).count().collect()}
+    assert len([k for k in sizes if k[0] == 7]) == 34 and max(sizes.values()) < 200
+    assert small.where("key = 7").count() == 68 and small.where("key <> 7").count() == 2
+    want = sorted((x.key, x.s_payload, x.r_payload) for x in J.join(r, s).collect())
+    assert sorted((x.key, x.s_payload, x.r_payload) for x in J.chained(r, s, 100).collect()) == want
+
+
+def test_batches_read_their_own_partitions(spark, tmp_path):
+    r, s = G.unique(spark, 900, 900), G.unique(spark, 2500, 900)
+    out = J.coprocess_batches(r, s, f"file://{tmp_path}/c")
+    want = J.join(r, s).groupBy(F.col("key").bitwiseAND(F.lit(15)).alias("host_part")).count()
+    assert sorted(map(tuple, out.groupBy("host_part").count().collect())) == sorted(map(tuple, want.collect()))
+    parts = {}
+    for x in out.select("batch", "host_part").distinct().collect():
+        parts.setdefault(x.batch, set()).add(x.host_part)
+    assert len(parts) > 2 and sum(map(len, parts.values())) == 16 and max(map(len, parts.values())) <= 5
+    assert J.coprocess_batches(r.limit(0), s, f"file://{tmp_path}/e").count() == 0
+
+
+def test_segments_are_materialised_once(spark, tmp_path):
+    from keyloom.streaming.probe import stream_materialize
+
+    s = spark.range(300).select((F.col("id") % 50).cast("int").alias("k"), F.col("id").alias("p"))
+    s.repartition(3).write.parquet(f"file://{tmp_path}/s.parquet")
+    r = G.unique(spark, 40, 40).select("key", F.col("key").cast("bigint").alias("payload"))
+    got = stream_materialize(spark, r, f"file://{tmp_path}/s.parquet/", s.schema, "k", "p", f"file://{tmp_path}/out")
+    assert got.select("segment").distinct().count() == 3
+    want = s.join(r, s["k"] == r["key"]).select("payload", "p")
+    assert sorted((x.r_payload, x.s_payload) for x in got.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_shared_folders_need_a_shared_place(spark):
+    from types import SimpleNamespace
+
+    from keyloom.streaming.probe import shared_folder
+
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(there, "x")
+
+
 def test_cached_relation(spark, tmp_path):
     made = []
     make = lambda: (made.append(1), G.unique(spark, 10, 10))[1]
