@@ -6,7 +6,7 @@ uniform prior, after m of n agree the similarity is Beta(m + 1, n - m + 1), and
 pair goes as soon as the probability of reaching the threshold falls below the tolerance.
 What is left is verified exactly on the shingle sets.
 
-Texts without words (null, empty, blank) have no links and are classes of their own.
+Texts without words (null, empty, blank) have no links, are classes of their own, and take part in no join.
 Texts with the same words in a row are copies: links between them are counted, not
 expanded. Rows that share doc_id and text count as copies of one another; rows that share doc_id but not
 text stay apart by text. An empty table gives no rows. Class ids are the least doc_id of the class.
@@ -14,17 +14,16 @@ text stay apart by text. An empty table gives no rows. Class ids are the least d
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import components as C
-from keyloom.llm.session import fresh, ship, written
+from keyloom.llm import sieve
+from keyloom.llm.session import fresh, parallelism, remove, ship, written
 from keyloom.llm.text import slices, windows, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -35,43 +34,12 @@ K = ROWS * BANDS
 STEP, TOLERANCE = 25, 1e-6
 
 
-@cache
-def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, step: int = STEP, k: int = K) -> tuple[int, ...]:
-    """For n = step, 2 step, ..., k: the least number of agreeing values with P(J >= threshold | data) >= tolerance."""
-    out = []
-    for n in range(step, k + 1, step):
-        m = 0
-        while _tail(m + 1, n - m + 1, threshold) < tolerance:
-            m += 1
-        out.append(m)
-    return tuple(out)
+def prune(sketch: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    return C.prune(sketch, pairs, THRESHOLD, TOLERANCE, STEP)
 
 
-def _tail(a: int, b: int, x: float) -> float:
-    """P(Beta(a, b) > x) for whole a, b: a binomial sum."""
-    n = a + b - 1
-    return sum(math.comb(n, i) * x**i * (1 - x) ** (n - i) for i in range(a))
-
-
-def verify(sig: np.ndarray, shingles: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    alive, agree = np.arange(len(pairs)), np.zeros(len(pairs), np.int64)
-    for n, least in enumerate(least_matches()):
-        cut = slice(n * STEP, (n + 1) * STEP)
-        got = np.zeros(len(alive), np.int64)
-        for c in range(0, len(alive), 1 << 16):
-            p = pairs[alive[c : c + (1 << 16)]]
-            got[c : c + (1 << 16)] = (sig[p[:, 0], cut] == sig[p[:, 1], cut]).sum(1)
-        agree = agree + got
-        stay = agree >= least
-        alive, agree = alive[stay], agree[stay]
-    out = np.zeros(len(pairs), bool)
-    if len(alive):
-        out[alive] = C.similar(shingles, pairs[alive], THRESHOLD)
-    return out
-
-
-def _bands(sig: np.ndarray) -> np.ndarray:
-    return C.band_values(sig, ROWS)
+def verify(shingles: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    return C.similar(shingles, pairs, THRESHOLD)
 
 
 def _shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,29 +51,12 @@ def _shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e, m, C.content_keys(h, W.count)
 
 
-def _binary(a: np.ndarray) -> pa.Array:
-    """The rows of a two-dimensional array as binary values."""
-    n, width = a.shape[0], a.shape[1] * a.itemsize
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int64) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(a))])
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     f = C.Hashes(K)
     for b in slices(batches):
         e, m, key = _shingles(b.column("text"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), _binary(key), pa.array(m), _binary(f(e, m))], ["doc_id", "key", "n", "sig"])
-
-
-def _buckets(rows: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                sig = np.stack([np.frombuffer(s, "<u4") for s in b.column("sig").to_pylist()]).reshape(-1, k)
-                v = C.band_values(sig, rows)
-                at = pa.array(np.repeat(np.arange(b.num_rows), v.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(v.reshape(-1).view(np.int64)), b.column("key").take(at)], ["bucket", "key"])
-
-    return run
+        bands, sketch = C.packed(f(e, m), ROWS)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), C.binary(key), pa.array(m), bands, sketch], ["doc_id", "th", "key", "n", "bands", "sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,81 +64,103 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, m, _ = _shingles(b.column("text"))
         ends = np.concatenate(([0], np.cumsum(m))).astype(np.int32) * 8
         s = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(e))])
-        yield pa.RecordBatch.from_arrays([b.column("key"), s], ["key", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("uid"), s], ["key", "shingles"])
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, class_id, n_links, is_first): a row for each row of docs (doc_id, text).
+def _same(a: DataFrame, b: DataFrame, names: tuple[str, str, str, str]) -> Column:
+    """Rows of one text: a's doc_id and text hash, and b's."""
+    d, t, e, u = names
+    return a[d].eqNullSafe(b[e]) & (a[t] == b[u])
 
-    key: content key; n_links: other rows with a similarity of at least 0.8; is_first: whether the row is the least of
-    its class by (doc_id, key).
-    """
+
+def _place(doc_id: Column, th: Column) -> Column:
+    return F.xxhash64(doc_id, th)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _resolved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, key, n) of every row, and (key, weight, f, n_links) of every distinct text with words; f: doc_id and th of its class's first row."""
     spark = docs.sparkSession
     ship(spark)
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    signed, _ = written(rows.mapInArrow(_signed, f"doc_id {kind}, key BINARY, n BIGINT, sig BINARY"), "signed", "uncompressed")
-    # exact copies become one unit; a unit's first document stands for its text
-    units = signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.first("sig").alias("sig"))
-    units, _ = written(units, "units", "uncompressed")
-    ties = C.star(units.select("key", "sig").mapInArrow(_buckets(ROWS, K), "bucket BIGINT, key BINARY"))
-    near = C.components(ties)
-    block, _ = written(C.blocks(near), "blocks")
-    members = units.join(block.select("key").distinct(), "key", "left_semi")
-    picked = members.select("key", "doc_id")
-    # texts meet ids in the same way at every size, as the ids grow with the data
-    text = rows.withColumnRenamed("doc_id", "d").join(picked.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id"))).select("key", "text")
-    # a repeated doc_id may bring another text along: its own shingles must give the unit's key
-    shingled = text.mapInArrow(_keyed_sets, "key BINARY, shingles BINARY").dropDuplicates(["key"])
-    ready = block.join(members.select("key", "weight", "sig"), "key").join(shingled, "key")
-    links, final = C.linked(ready, _bands, verify)
-    u = units.select("key", "weight", F.col("doc_id").alias("first_id")).join(links, "key", "left").join(final.select(F.col("node").alias("key"), "root"), "key", "left")
-    u = u.withColumn("root", F.coalesce("root", "key")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
-    least = u.groupBy("root").agg(F.min(F.struct(F.col("first_id").alias("class_id"), F.col("key").alias("first_key"))).alias("f")).select("root", "f.*")
-    u = u.join(least, "root").select("key", "class_id", "first_key", "n_links")
-    j = signed.select("doc_id", "key", "n").join(u, "key", "left")
-    alone = F.col("n") == 0
-    own = F.col("key") == F.col("first_key")
-    return j.select(
-        "doc_id", "key", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        (alone | (own & F.col("doc_id").eqNullSafe(F.col("class_id")))).alias("is_first"),
-    )
-
-
-def _keyed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        e, m, key = _shingles(b.column("text"))
-        ends = np.concatenate(([0], np.cumsum(m))).astype(np.int32) * 8
-        s = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(e))])
-        k = _binary(key)
-        same = pa.array([x == y for x, y in zip(k.to_pylist(), b.column("key").to_pylist())])
-        yield pa.RecordBatch.from_arrays([k, s], ["key", "shingles"]).filter(same)
+    kind, parts = dict(docs.dtypes)["doc_id"], parallelism(spark, docs)
+    rows = _rows(docs)
+    signed, _ = written(rows.mapInArrow(_signed, f"doc_id {kind}, th BIGINT, key BINARY, n BIGINT, bands BINARY, sketch BINARY"), "signed", "uncompressed")
+    # exact copies become one unit, numbered as written; a unit's first row stands for its text
+    first = F.min(F.struct("doc_id", "th")).alias("f")
+    units = signed.where("n > 0").groupBy("key").agg(first, F.count("*").alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    units, _ = written(units.select(F.monotonically_increasing_id().alias("uid"), "*"), "units", "uncompressed")
+    near = C.near(units, BANDS, prune, parts)
+    member, member_path = written(units.select("uid", "f", "n", "weight", "sketch").join(near, F.col("uid") == F.col("node")), "member", "uncompressed")
+    block = C.blocks(member.select("node", "root", "n"))
+    picked = member.select("uid", F.col("f.doc_id").alias("d"), F.col("f.th").alias("t"))
+    # only rows that the members' bitmap lets through are shuffled; repeated rows give a set again
+    some = rows.where(sieve.passes(_place(F.col("doc_id"), F.col("th")), sieve.bitmap(picked.select(_place(F.col("d"), F.col("t")).alias("h")))))
+    text = some.join(picked.hint("merge"), _same(some, picked, ("doc_id", "th", "d", "t"))).select("uid", "text")
+    if _repeats(signed):
+        text = text.dropDuplicates(["uid"])
+    ready = block.join(member.select(F.col("uid").alias("key"), "weight", "sketch"), "key").join(text.mapInArrow(_sets, "key BIGINT, shingles BINARY"), "key")
+    links, final = C.linked(ready, prune, verify)
+    u = units.select("uid", "key", "weight", "f").join(links.withColumnRenamed("key", "uid"), "uid", "left").join(final.withColumnRenamed("node", "uid"), "uid", "left")
+    u = u.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1).drop("links")
+    # units without a link are classes of their own
+    alone = u.where("root IS NULL").select("key", "weight", "f", "n_links")
+    some = u.where("root IS NOT NULL")
+    least = some.groupBy("root").agg(F.min("f").alias("least"), F.count("*").alias("__size"))
+    some = C.meet(some, least, "root", "__size").select("key", "weight", F.col("least").alias("f"), "n_links")
+    resolved, _ = written(alone.unionAll(some), "resolved")
+    remove(spark, member_path)
+    return signed.select("doc_id", "th", "key", "n"), resolved
+
+
+def _repeats(signed: DataFrame) -> bool:
+    """Whether a row occurs more than once."""
+    return bool(signed.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1").limit(1).count())
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links, is_first): a row for each row of docs (doc_id, text).
+
+    n_links: other rows with a similarity of at least 0.8; is_first: whether the row is the least of its class by doc_id and text hash.
+    """
+    signed, units = _resolved(docs)
+    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("is_first"))
+    j = C.meet(signed.where("n > 0"), units, "key", "weight")
+    own = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+    return none.unionAll(j.select("doc_id", F.col("f.doc_id").alias("class_id"), "n_links", own.alias("is_first")))
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class, all columns kept: the first by (doc_id, key); of rows that agree in both, one."""
-    c = classes(docs)
-    first = c.where("is_first").groupBy("doc_id", "key").agg(F.count("*").alias("rows"))
-    first, _ = written(first, "firsts")
-    id_, key, rows = (fresh(docs.columns, f"__{x}") for x in ("id", "key", "rows"))
-    f = first.select(F.col("doc_id").alias(id_), F.col("key").alias(key), F.col("rows").alias(rows))
-    # doc_id alone decides, unless it occurs more than once
-    twice = c.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    if not twice:
-        return docs.join(f.hint("merge"), docs["doc_id"].eqNullSafe(f[id_])).drop(id_, key, rows)
-
-    @F.arrow_udf("binary")
-    def key_of(text: pa.Array) -> pa.Array:
-        b = pa.RecordBatch.from_arrays([text], ["text"])
-        return pa.concat_arrays([_binary(_shingles(x.column("text"))[2]) for x in slices([b])])
-
-    own = fresh([*docs.columns, id_, key, rows], "__own")
-    j = docs.withColumn(own, key_of(F.col("text").cast("string"))).join(f, docs["doc_id"].eqNullSafe(f[id_]) & (F.col(own) == f[key])).drop(id_, key, rows)
-    return j.dropDuplicates(["doc_id", own]).drop(own)
+    """docs with one row of each class, all columns kept: the first by doc_id and text hash; of repeated rows, one.
+
+    Most rows stay. Those that may have to go are told by a bitmap; only they are shuffled.
+    """
+    signed, units = _resolved(docs)
+    j = C.meet(signed.where("n > 0"), units, "key", "weight")
+    stays = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+    row = j.select("doc_id", "th", stays.alias("stays"))
+    id_, th, copies = (fresh(docs.columns, f"__{x}") for x in ("id", "th", "copies"))
+    here = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    twice = signed.where("n > 0").groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1")
+    if not twice.limit(1).count():
+        gone, _ = written(row.where("NOT stays").select(F.col("doc_id").alias(id_), F.col("th").alias(copies)), "gone")
+        maybe = sieve.passes(_place(F.col("doc_id"), F.col(th)), sieve.bitmap(gone.select(_place(F.col(id_), F.col(copies)).alias("h"))))
+        marked = here.withColumn(id_, maybe)
+        stay, ask = marked.where(~F.col(id_)).drop(id_), marked.where(F.col(id_)).drop(id_)
+        left = ask.join(gone.hint("merge"), _same(ask, gone, ("doc_id", th, id_, copies)), "left_anti")
+        return stay.unionAll(left).drop(th)
+    # repeated rows: every row that stays or has no words is kept once for each class
+    kept = row.where("stays").select(F.col("doc_id").alias(id_), F.col("th").alias(copies)).distinct()
+    some = here.join(kept, _same(here, kept, ("doc_id", th, id_, copies)), "left_semi").dropDuplicates(["doc_id", th])
+    blank = here.where(~F.coalesce(F.col("text").cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return some.unionAll(blank).drop(th)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links", "is_first")
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 SQL = r"""

@@ -26,9 +26,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the cluster names; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/keyloom"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared place that the cluster names in spark.checkpoint.dir, removed when the driver ends if not before.
+
+    A temporary one is used only on a local master, as in tests: elsewhere each machine would write to its own disk.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = f"file://{tempfile.gettempdir()}/keyloom"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p, fs = _of(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.deleteOnExit(p)
+    return path
+
+
+def _of(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
@@ -39,8 +55,8 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFr
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    p, fs = _of(spark, path)
+    fs.delete(p, True)
 
 
 def fresh(columns: list[str], name: str) -> str:
