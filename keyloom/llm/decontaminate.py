@@ -9,31 +9,37 @@ the other make up the longest verbatim match.
 
 Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, compared by 64-bit hashes. A null, empty or
 wordless document has n_words 0 and isn't contaminated; an item without words has no window. Items with
-the same text all count. A repeated document gets a row each time. An empty benchmark finds nothing.
+the same text all count, rows with the same item_id once. A repeated document gets a row each time. An empty benchmark finds nothing.
+
+A benchmark beyond BLOCK_BYTES is searched block by block. The corpus is still scanned once: a bitmap of the hashes of all
+windows, of fixed size, tells which documents may hold one at all, and the blocks are searched in those.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.session import fresh, ship
-from keyloom.llm.text import ALNUM_WORDS, slices, within, words
+from keyloom.llm import sieve
+from keyloom.llm.session import fresh, ship, written
+from keyloom.llm.text import ALNUM_WORDS, Words, slices, windows, within, words
 
 WINDOW = 13
 #: Bytes of benchmark text that tasks get at once; a larger benchmark is searched block by block.
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 8 << 20
 _FILTER = 1 << 20
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _END, _TOP = 0, 0xFFFFFFFF
 
 
@@ -152,7 +158,7 @@ def search(col: pa.Array, bench: Bench) -> dict:
     return {"n_words": W.count, "spans": spans, "items": items, "longest": longest}
 
 
-def items_digest(ids: list[str]) -> str:
+def items_digest(ids: Iterable[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
@@ -176,9 +182,9 @@ def _verdicts(col: pa.Array, bench: Bench) -> list[pa.Array]:
     f = search(col, bench)
     n = len(f["n_words"])
     hit = np.bincount(f["spans"][:, 0], weights=f["spans"][:, 2] - f["spans"][:, 1], minlength=n).astype(np.int64)
-    ids: dict[int, list[str]] = {}
+    ids: dict[int, set[str]] = {}  # of items that repeat, one
     for d, i in f["items"].tolist():
-        ids.setdefault(d, []).append(bench.ids[i])
+        ids.setdefault(d, set()).add(bench.ids[i])
     sha, long, which, where = [_NONE] * n, [0] * n, [None] * n, [None] * n
     for d, found in ids.items():
         sha[d] = items_digest(found)
@@ -241,21 +247,68 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
     first, second = next(benches), next(benches, None)
     if second is None:
         return rows.mapInArrow(_table(first), f"doc_id {kind}, {OUT}")
-    return _by_blocks(rows, chain((first, second), benches)).drop("th")
+    return _by_blocks(rows, items, chain((first, second), benches)).drop("th")
+
+
+def _window_hashes(W: Words, k: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-word windows of each text, and how many; short: of texts of exactly k words alone."""
+    h = W.hashes(lower=True)
+    if short:
+        whole = W.count == k
+        h, count = h[np.repeat(whole, W.count)], np.where(whole, W.count, 0)
+    else:
+        count = W.count
+    return windows(h, count, k)
+
+
+def _all_windows(window: int):
+    """From items (text) the hashes of their windows; shorter items are one each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            W = words(b.column("text"), ALNUM_WORDS)
+            found = [_window_hashes(W, window, False)[0], *(_window_hashes(W, k, True)[0] for k in range(1, window))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    return run
 
 
-def _by_blocks(rows: DataFrame, benches: Iterator[Bench]) -> DataFrame:
-    """doc_id, th (the text's hash) and OUT: each block of a large benchmark is searched in its turn, and what was found of a document is put together."""
+def _maybe(window: int, short: list[int], bits: bytes):
+    """Rows with n_words; the text only of those that hold a window that the bitmap has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=SHARD_BYTES):
+            W = words(b.column("text"), ALNUM_WORDS)
+            some = np.zeros(W.n_docs, bool)
+            for k in [window, *short]:
+                h, n = _window_hashes(W, k, False)
+                some[np.repeat(np.arange(W.n_docs), n)[sieve.held(h.view(np.int64), bits)]] = True
+            text = pc.if_else(pa.array(some), b.column("text"), pa.scalar(None, b.column("text").type))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(W.count), pa.array(some), text], ["doc_id", "th", "n_words", "some", "text"])
+
+    return run
+
+
+def _by_blocks(rows: DataFrame, items: DataFrame, benches: Iterator[Bench]) -> DataFrame:
+    """doc_id, th (the text's hash) and OUT: each block of a large benchmark is searched in its turn in the documents that may hold a window, and what was found of a document is put together."""
     kind = dict(rows.dtypes)["doc_id"]
-    keyed = rows.withColumn("th", F.xxhash64("text"))
+    bench = next(benches)
+    window = bench.window
+    text = items.select(F.col("text").cast("string").alias("text"))
+    n = F.regexp_count("text", F.lit(_WORD))
+    short = sorted(r[0] for r in text.select(n.alias("n")).where(f"n > 0 AND n < {window}").distinct().collect())  # lengths below the window's
+    bits = sieve.bitmap(text.mapInArrow(_all_windows(window), "h BIGINT"))
+    keyed, _ = written(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_maybe(window, short, bits), f"doc_id {kind}, th BIGINT, n_words BIGINT, some BOOLEAN, text STRING"), "maybe")
+    some = keyed.where("some").select("doc_id", "th", "text")
     schema = f"doc_id {kind}, th BIGINT, spans ARRAY<ARRAY<BIGINT>>, items ARRAY<STRING>, longest_match BIGINT, longest_item STRING, longest_at BIGINT"
-    found = keyed.mapInArrow(_pieces(next(benches)), schema)
-    for b in benches:
-        found = found.unionAll(keyed.mapInArrow(_pieces(b), schema))
-    found = found.dropDuplicates(["doc_id", "th", "items", "spans"])
+    found = None
+    while bench is not None:
+        one, _ = written(some.mapInArrow(_pieces(bench), schema), "found")
+        found = one if found is None else found.unionAll(one)
+        bench = next(benches, None)
     best = F.min(F.struct((-F.col("longest_match")).alias("less"), "longest_item", "longest_at"))
-    per = found.groupBy("doc_id", "th").agg(_flat("spans"), _flat("items"), best.alias("best"))
-    d = keyed.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("bigint")).drop("text").alias("d")
+    per = found.groupBy("doc_id", "th").agg(_flat("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best.alias("best"))
+    d = keyed.select("doc_id", "th", "n_words").alias("d")
     p = per.select("*", _covered("spans").alias("n_hit")).alias("p")
     j = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.th").eqNullSafe(F.col("p.th")), "left")
     hit = F.coalesce(F.col("n_hit"), F.lit(0))
@@ -272,25 +325,32 @@ def _flat(c: str):
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the contaminated ones, all columns kept."""
+    """docs without those that hold a window of an item, however long they are; all columns kept. A row goes by its own text, so rows that share a doc_id may part."""
     spark = docs.sparkSession
     ship(spark)
     benches = _benches(items, window)
-    out = docs
     first, second = next(benches), next(benches, None)
     if second is not None:
-        # rows may share a doc_id or have none: a row goes by its own text here too
+        d, t, th = (fresh(docs.columns, f"__{x}") for x in ("d", "t", "th"))
         rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        bad = _by_blocks(rows, chain((first, second), benches)).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__d"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__t"]), "left_anti")
+        bad = _by_blocks(rows, items, chain((first, second), benches)).where("n_hit > 0").select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+        here = docs.withColumn(th, F.xxhash64(docs["text"].cast("string")))
+        return here.join(bad, here["doc_id"].eqNullSafe(bad[d]) & (here[th] == bad[t]), "left_anti").drop(th)
 
     @F.arrow_udf("boolean")
     def bad(text: pa.Array) -> pa.Array:
         b = pa.RecordBatch.from_arrays([text.cast(pa.string())], ["text"])
-        return pa.concat_arrays([_verdicts(x.column("text"), first)[4] for x in slices([b], limit=SHARD_BYTES)])
+        return pa.concat_arrays([_hit(x.column("text"), first) for x in slices([b], limit=SHARD_BYTES)])
 
     flag = fresh(docs.columns, "__bad")
-    return out.withColumn(flag, bad(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
+    return docs.withColumn(flag, bad(F.col("text").cast("string"))).where(~F.col(flag)).drop(flag)
+
+
+def _hit(col: pa.Array, bench: Bench) -> pa.Array:
+    f = search(col, bench)
+    out = np.zeros(len(f["n_words"]), bool)
+    out[f["spans"][:, 0]] = True
+    return pa.array(out)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
