@@ -8,12 +8,13 @@ index of the document parts in it. `table` holds the frequencies that all blocks
 share. Ids follow ascending doc_id; shards are ranges of it.
 
 Null, empty and blank texts give the end id alone. A null doc_id comes first. Repeated
-rows are encoded as often as they occur; rows with the same doc_id keep an arbitrary order.
-An empty table gives an empty folder of blocks.
+rows are encoded as often as they occur; rows with the same doc_id follow one another by the hash of their texts, so that
+a doc_id with many rows may span shards. doc_id keeps its type. An empty table gives an empty folder of blocks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from itertools import chain
@@ -37,7 +38,10 @@ CACHE_WORDS = 1_000_000
 SLICE = 2 << 20
 _PUNCT = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
-_kept: dict[str, tuple] = {}
+_kept: dict[str, WordEncoder] = {}
+#: The normalizer and the pre-tokenizer for which WordEncoder's cuts are exact.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,7 +53,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Ids of words, by the tokenizers library; each distinct piece of a word is encoded once as long as the cache has room.
 
-    Exact for tokenizers whose pre-tokenizer never joins what ASCII white space parts and drops it,
+    by_words tells whether the tokenizer's file meets what follows; texts are encoded whole where it doesn't. Exact for tokenizers whose pre-tokenizer never joins what ASCII white space parts and drops it,
     whose added tokens hold no white space, and that lower-case: then the ids of a
     text are those of its white-space-separated words in a row. Lower-casing ASCII first changes no ids
     either, nor does cutting off a tail of ASCII punctuation that follows an ASCII letter or digit, where a run of
@@ -65,9 +69,16 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_words = _cuts_words(self.tok)
         self.width = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.width)
 
+    def whole(self, texts: list[str | None]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for i in range(0, len(texts), 256):
+            out += [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts[i : i + 256]], add_special_tokens=False)]
+        return out
+
     @classmethod
     def get(cls, path: str) -> WordEncoder:
         if path not in _kept:
@@ -102,6 +113,15 @@ class WordEncoder:
         return at[code], size[code], everything
 
 
+def _cuts_words(tok) -> bool:
+    """Whether a tokenizer's parts are those for which its words can be encoded one by one."""
+    normalizer, pre = (json.loads(x.__getstate__()) if x else {} for x in (tok.normalizer, tok.pre_tokenizer))
+    pre = pre.get("pretokenizers", [])
+    byte_level = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    added = all(t.content.startswith("<|") and not any(c.isspace() for c in t.content) and not (t.lstrip or t.rstrip or t.single_word) for t in tok.get_added_tokens_decoder().values())
+    return normalizer == _NORMALIZER and byte_level and pre[0] == _SPLIT and added and not tok.model.dropout
+
+
 def first_places(code: np.ndarray, n: int) -> np.ndarray:
     """Where each of the codes 0..n-1 occurs first."""
     out = np.empty(n, np.int64)
@@ -131,6 +151,10 @@ def _split(W: Words, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
 
 def encode_texts(col: pa.Array, enc: WordEncoder, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts, an end id after each text's, and how many each text has."""
+    if not enc.by_words:
+        found = enc.whole(col.to_pylist())
+        n = np.array([len(x) + 1 for x in found], np.int64)
+        return np.fromiter(chain.from_iterable((*x, end) for x in found), enc.width, int(n.sum())), n
     W = words(col)
     code, uniq = pd.factorize(W.hashes())
     first = first_places(code, len(uniq))
@@ -153,8 +177,9 @@ def encode_texts(col: pa.Array, enc: WordEncoder, end: int = END) -> tuple[np.nd
     return tokens, np.diff(np.concatenate(([0], ends)))
 
 
-STAGED = "shard INT, block BIGINT, at BIGINT, ids BINARY, doc_id ARRAY<BIGINT>, seq ARRAY<BIGINT>, part ARRAY<BIGINT>, n ARRAY<BIGINT>, total ARRAY<BIGINT>"
-BLOCKS = "shard INT, block BIGINT, start BIGINT, n_ids INT, states BINARY, words BINARY, crc32 BIGINT, doc_id ARRAY<BIGINT>, seq ARRAY<BIGINT>, part ARRAY<BIGINT>, n ARRAY<BIGINT>, total ARRAY<BIGINT>"
+_INDEX = "doc_id ARRAY<{kind}>, seq ARRAY<BIGINT>, part ARRAY<BIGINT>, n ARRAY<BIGINT>, total ARRAY<BIGINT>"
+STAGED = "shard INT, block BIGINT, at BIGINT, ids BINARY, " + _INDEX
+BLOCKS = "shard INT, block BIGINT, start BIGINT, n_ids INT, states BINARY, words BINARY, crc32 BIGINT, " + _INDEX
 
 
 def _cut(path: str, end: int):
@@ -163,7 +188,7 @@ def _cut(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         enc = WordEncoder.get(path)
-        state = {"block": 0, "seq": 0}
+        state = {"block": 0, "seq": 0, "kind": pa.int64()}
         held: list[np.ndarray] = []
         index: list[tuple] = []  # doc_id, seq, part, n, total; n ids of held
         size = 0
@@ -191,9 +216,10 @@ def _cut(path: str, end: int):
                 state["block"] += 1
             held, index, size = [ids[n:]], index[i:], len(ids) - n
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _staged_types())], _staged_names())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _staged_types(state["kind"]))], _staged_names())
 
         for b in slices(batches, limit=SLICE):
+            state["kind"] = b.column("doc_id").type
             tokens, n = encode_texts(b.column("text"), enc, end)
             held.append(tokens)
             size += len(tokens)
@@ -211,8 +237,8 @@ def _staged_names() -> list[str]:
     return [c.split()[0] for c in STAGED.split(", ")]
 
 
-def _staged_types() -> list[pa.DataType]:
-    return [pa.int32(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 5]
+def _staged_types(kind: pa.DataType) -> list[pa.DataType]:
+    return [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(kind), *[pa.list_(pa.int64())] * 4]
 
 
 def _count(width: str):
@@ -256,11 +282,12 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
     ship(spark)
     path = path or tokenizer_path()
     width = WordEncoder.get(path).width
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(parallelism(spark, docs), "doc_id").sortWithinPartitions("doc_id")
-    stage = folder(spark, "ids")
-    dealt.mapInArrow(_cut(path, end), STAGED).write.option("compression", "zstd").parquet(stage)
-    staged = spark.read.schema(STAGED).parquet(stage)
+    text, kind = F.col("text").cast("string"), dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+    dealt = rows.repartitionByRange(parallelism(spark, docs), "doc_id", "th").sortWithinPartitions("doc_id", "th").select("doc_id", "text")
+    stage, schema = folder(spark, "ids"), STAGED.format(kind=kind)
+    dealt.mapInArrow(_cut(path, end), schema).write.option("compression", "zstd").parquet(stage)
+    staged = spark.read.schema(schema).parquet(stage)
     # one number for each shard and one for each id of the vocabulary come to the driver
     sizes = {r[0]: r[1] for r in staged.groupBy("shard").agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x))).collect()}
     base, done = {}, 0
@@ -272,7 +299,7 @@ def write(docs: DataFrame, out: str, path: str | None = None, end: int = END) ->
         full[i] = c
     freq = rans.frequencies(full)
     spark.createDataFrame([(int(i), int(f)) for i, f in enumerate(freq) if f], "id INT, freq INT").coalesce(1).write.parquet(f"{out}/table")
-    staged.mapInArrow(_encode(freq.astype("<u8").tobytes(), base, width), BLOCKS).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    staged.mapInArrow(_encode(freq.astype("<u8").tobytes(), base, width), BLOCKS.format(kind=kind)).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
     remove(spark, stage)
 
 
@@ -293,7 +320,7 @@ def _decode(freq: bytes, digest: bool):
                     rows.append((r["shard"][i], q, d, p, n, t, r["start"][i] + a, zlib.crc32(piece) if digest else piece))
                     a += n
             cols = list(zip(*rows)) if rows else [[]] * 8
-            types = [pa.int32(), *[pa.int64()] * 6, pa.int64() if digest else pa.binary()]
+            types = [pa.int32(), pa.int64(), b.column("doc_id").type.value_type, *[pa.int64()] * 4, pa.int64() if digest else pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["shard", "seq", "doc_id", "part", "n", "total", "start", "value"])
 
     return run
@@ -306,9 +333,9 @@ def _parts(spark: SparkSession, out: str, digest: bool) -> DataFrame:
     freq = np.zeros(max((r[0] for r in table), default=0) + 1, "<u8")
     for i, f in table:
         freq[i] = f
-    blocks = spark.read.schema(BLOCKS).parquet(f"{out}/blocks")
-    kind = "BIGINT" if digest else "BINARY"
-    return blocks.mapInArrow(_decode(freq.tobytes(), digest), f"shard INT, seq BIGINT, doc_id BIGINT, part BIGINT, n BIGINT, total BIGINT, start BIGINT, value {kind}")
+    blocks = spark.read.parquet(f"{out}/blocks")
+    ids = blocks.schema["doc_id"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(_decode(freq.tobytes(), digest), f"shard INT, seq BIGINT, doc_id {ids}, part BIGINT, n BIGINT, total BIGINT, start BIGINT, value {'BIGINT' if digest else 'BINARY'}")
 
 
 def _gathered(parts: DataFrame) -> DataFrame:
