@@ -1,11 +1,13 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 P(grade <= k) = sigmoid(theta_k - w.x) for k = 0, 1, 2 with one weight vector w and ordered
-thresholds. x marks which entries of a lexicon a text holds: whole words, or the first four or
+thresholds, all fitted together by maximum likelihood. x marks which entries of a lexicon a text holds: whole words, or the first four or
 five bytes of longer ones, which catches inflected forms. The lexicon comes from the labelled rows: entries
-whose rate among toxic documents exceeds that among the others beyond chance, near copies counted once. Labels are 0 or 1; the grade of a toxic training document is 1 for one
-lexicon word, 2 for two or three, 3 for more (one without any counts as 1). The
-result is the expected grade, 0 to 3; a text is toxic if P(grade >= 1) is at least 0.5.
+whose rate among toxic documents exceeds that among the others beyond chance, near copies counted once.
+
+Labels are 0 or 1, so severity has to be graded from the rows themselves, and not by the features that the model then sees: the training rows are halved by
+a hash of their text, either half tells which entries are significant and by what log-odds, the sum of those is the evidence in a toxic text of the other half,
+and its terciles there are the grades 1, 2 and 3. Toxic texts have the share BALANCE in the likelihood. The result is the expected grade, 0 to 3; a text is toxic if P(grade >= 1) is at least 0.5.
 
 Words: maximal runs of letters and digits, lower-cased. Null and empty texts have no words and
 keep the base rate, which is below 0.5. Without labelled rows of both kinds nothing is toxic.
@@ -31,7 +33,11 @@ GRADES = 4
 #: Labelled rows to learn from, at most.
 TRAIN_ROWS = 6000
 #: Least number of toxic training documents with an entry, and least z-score of its excess.
-LEAST_DOCS, LEAST_Z = 5, 6.0
+LEAST_DOCS, LEAST_Z = 3, 4.0
+#: Least z-score of an entry that counts as evidence for the grade of a text of the other half.
+EVIDENT_Z = 4.0
+#: Penalty on squared weights, and the share of the toxic texts in the likelihood, however few they are.
+PENALTY, BALANCE = 2e-3, 0.4
 LEXICON = 5000
 PREFIXES = (4, 5)
 CUT = 0.5
@@ -73,10 +79,48 @@ def _word_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e, n, sketch
 
 
+def z_scores(bad: np.ndarray, every: np.ndarray, n_bad: int, n: int) -> np.ndarray:
+    """How far the number of toxic texts with an entry exceeds what its number of texts lets expect, in standard deviations."""
+    p = every / max(n, 1)
+    return (bad - n_bad * p) / np.sqrt(np.maximum(n_bad * p * (1 - p) * (1 - n_bad / max(n, 1)), 1e-9))
+
+
+def severity(code: np.ndarray, doc: np.ndarray, y: np.ndarray, half: np.ndarray, n_words: int) -> np.ndarray:
+    """Grades 0 to 3: of toxic texts by terciles, within each half, of the evidence of the other half: the sum of log-odds of the entries that are significant there."""
+    grade = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        judge = np.flatnonzero((half == k) & (y == 1))
+        if not len(judge):
+            continue
+        bad = np.bincount(code[(half[doc] != k) & (y[doc] == 1)], minlength=n_words)
+        good = np.bincount(code[(half[doc] != k) & (y[doc] == 0)], minlength=n_words)
+        n_bad, n_good = int(((half != k) & (y == 1)).sum()), int(((half != k) & (y == 0)).sum())
+        odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
+        evidence = np.where(z_scores(bad, bad + good, n_bad, n_bad + n_good) >= EVIDENT_Z, odds, 0.0)
+        total = np.bincount(doc, weights=evidence[code], minlength=len(y))
+        rank = np.argsort(np.argsort(total[judge], kind="stable"), kind="stable")
+        grade[judge] = 1 + 3 * rank // len(judge)
+    return grade
+
+
+def log_likelihood(w: np.ndarray, theta: np.ndarray, row: np.ndarray, col: np.ndarray, grade: np.ndarray, each: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of texts of weight `each`, less the penalty, and its gradient by w and by theta; text row[i] holds entry col[i]."""
+    n = len(grade)
+    cum = _sigmoid(theta[None, :] - np.bincount(row, weights=w[col], minlength=n)[:, None])
+    full = np.concatenate((np.zeros((n, 1)), cum, np.ones((n, 1))), 1)
+    slope = np.concatenate((np.zeros((n, 1)), cum * (1 - cum), np.zeros((n, 1))), 1)
+    at = np.arange(n)
+    prob = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
+    upper, lower = each * slope[at, grade + 1] / prob, each * slope[at, grade] / prob
+    d_theta = np.bincount(grade, weights=upper, minlength=GRADES)[:-1] - np.bincount(grade, weights=lower, minlength=GRADES)[1:]
+    d_w = np.bincount(col, weights=(lower - upper)[row], minlength=len(w)) - PENALTY * w
+    return float(each @ np.log(prob) - PENALTY / 2 * (w @ w)), d_w, d_theta
+
+
 def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 1500) -> Model:
-    """texts: the distinct word hashes and the 0/1 label of each training document."""
+    """texts: the distinct entry hashes, sorted, and the 0/1 label of each training document."""
     y = np.array([t for _, t in texts], np.int64)
-    size = np.array([len(h) for h, _ in texts])
+    size = np.array([len(h) for h, _ in texts], np.int64)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 20.0))
     if not (y == 1).any() or not (y == 0).any():
         return none
@@ -85,8 +129,7 @@ def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 1500) -> Model:
     bad = np.bincount(code[y[doc] == 1], minlength=len(vocab))
     every = np.bincount(code, minlength=len(vocab))
     n1, n = int((y == 1).sum()), len(y)
-    p = every / n
-    z = (bad - n1 * p) / np.sqrt(np.maximum(n1 * p * (1 - p) * (1 - n1 / n), 1e-9))
+    z = z_scores(bad, every, n1, n)
     good = np.flatnonzero((bad >= LEAST_DOCS) & (z >= LEAST_Z))
     good = np.sort(good[np.argsort(-z[good], kind="stable")[:LEXICON]])
     if not len(good):
@@ -95,35 +138,20 @@ def fit(texts: list[tuple[np.ndarray, int]], rounds: int = 1500) -> Model:
     slot[good] = np.arange(len(good))
     use = slot[code] >= 0
     row, col = doc[use], slot[code[use]]
-    hits = np.bincount(row, minlength=n)
-    grade = np.where(y == 0, 0, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)))
+    half = np.array([int(h[0] >> np.uint64(40)) & 1 if len(h) else 0 for h, _ in texts])
+    grade = severity(code, doc, y, half, len(vocab))
     w = np.zeros(len(good))
-    share = np.array([(grade <= k).mean() for k in range(GRADES - 1)])
+    each = np.where(y == 1, BALANCE / n1, (1 - BALANCE) / (n - n1))
+    share = np.array([each[grade <= k].sum() for k in range(GRADES - 1)])
     theta = np.log((share + 1e-3) / (1 - share + 1e-3))
     theta = np.maximum.accumulate(theta + np.arange(GRADES - 1) * 1e-3)
     gw2, gt2 = np.full(len(w), 1e-8), np.full(len(theta), 1e-8)
-    onehot = np.arange(GRADES)[None, :] == grade[:, None]
     for _ in range(rounds):
-        x = np.bincount(row, weights=w[col], minlength=n)
-        cum = _sigmoid(theta[None, :] - x[:, None])
-        full = np.concatenate((np.zeros((n, 1)), cum, np.ones((n, 1))), 1)
-        prob = np.maximum(np.diff(full, axis=1), 1e-9)
-        slope = np.concatenate((np.zeros((n, 1)), cum * (1 - cum), np.zeros((n, 1))), 1)
-        each = onehot / prob
-        dt = ((each[:, :-1] - each[:, 1:]) * slope[:, 1:-1]).mean(0)  # of the log-likelihood by theta
-        dx = -(each * np.diff(slope, axis=1)).sum(1)
-        dw = np.bincount(col, weights=dx[row], minlength=len(w)) / n - 1e-5 * w
+        _, dw, dt = log_likelihood(w, theta, row, col, grade, each)
         gw2 += dw * dw
         gt2 += dt * dt
         w += 0.3 * dw / np.sqrt(gw2)
         theta = np.maximum.accumulate(theta + 0.1 * dt / np.sqrt(gt2))
-    # the first threshold, which rejects, goes to the middle of the gap that tells the labels apart with fewest errors
-    x = np.bincount(row, weights=w[col], minlength=n)
-    by = np.argsort(x, kind="stable")
-    errors = np.concatenate(([int((y == 0).sum())], (y == 0).sum() + np.cumsum(np.where(y[by] == 1, 1, -1))))
-    errors[1:-1][x[by][1:] <= x[by][:-1]] = n + 1
-    k = max(1, int(np.argmin(errors[:-1])))
-    theta[0] = min((x[by][k - 1] + x[by][k]) / 2, theta[1])
     order = np.argsort(vocab[good])
     return Model(vocab[good][order], w[order], theta)
 
