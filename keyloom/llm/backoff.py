@@ -5,11 +5,12 @@ down to 1 the first n-gram of a word that others hold gives count(n-gram) / coun
 BACKOFF for each step down; a word that nobody else has counts as one. The document's
 score is the sum of the logarithms.
 
-The count tables are partitioned by n-gram hash. Documents lie in chunks (by a hash of doc_id, so of
+The count tables are partitioned by n-gram hash. Documents lie in chunks (by a hash of doc_id and text, so of
 even size); a chunk explodes its n-grams and adds them up before anything is shuffled, and sends
-(hash range, its distinct n-grams, their counts) as packed columns. A hash range adds up what all chunks sent
+(hash range, its distinct n-grams, their counts) as packed columns to the ranges in which it has any. A hash range adds up what all chunks sent
 it, joins the totals back to each chunk's n-grams, and returns what all other chunks hold of them in the same order. A common n-gram costs
-one entry a chunk, never a row an occurrence, so no partition is hot.
+one entry a chunk, never a row an occurrence, so no partition is hot. A row holds one n-gram at least, so rows are never more than
+a plain table of (chunk, n-gram, count) has: as the input grows, they grow with its square only until they hold one n-gram each, and in proportion from there on.
 
 Words and bigrams go first. A longer n-gram is asked for once the totals of its two (n-1)-grams are there, and only if other
 documents hold both: if they don't, none can hold the n-gram, and its count is zero without asking. Whoever else holds it holds
@@ -21,18 +22,20 @@ table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.session import parallelism, ship, stored_bytes
-from keyloom.llm.text import words, windows
+from keyloom.llm.session import parallelism, ship
+from keyloom.llm.text import slices, windows, words
 
 ORDER, BACKOFF = 3, 0.4
-#: Stored bytes of input for each chunk, and for each hash range.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text for each chunk, and for each hash range.
+CHUNK_BYTES = 13 << 20
 
 
 def _grams(col: pa.Array, order: int, least: int = 1):
@@ -81,9 +84,9 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 
 def _requests(chunk: int, n: int, uniq: np.ndarray, count: np.ndarray, ranges: int) -> list[tuple]:
-    """A row for each hash range: the gaps between the chunk's sorted n-grams there, and their counts."""
+    """A row for each hash range where the chunk has n-grams: the gaps between its sorted ones, and their counts."""
     at = _cuts(uniq, ranges)
-    return [(chunk, n, r, _pack(np.diff(uniq[a:b], prepend=np.uint64(0)).astype("<u8")), _pack(count[a:b].astype("<u4"))) for r, (a, b) in enumerate(zip(at[:-1], at[1:]))]
+    return [(chunk, n, r, _pack(np.diff(uniq[a:b], prepend=np.uint64(0)).astype("<u8")), _pack(count[a:b].astype("<u4"))) for r, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
 
 
 _SENT = ["chunk", "n", "part", "grams", "counts"]
@@ -91,7 +94,7 @@ _SENT_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def _sent(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _SENT_TYPES)], _SENT)
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(_SENT), _SENT_TYPES)], _SENT)
 
 
 def _send_short(order: int, ranges: int):
@@ -117,7 +120,7 @@ def _send_long(n: int, ranges: int):
 
 
 def _add(key: tuple, t: pa.Table) -> pa.Table:
-    """A hash range: how often other chunks hold the n-grams of each chunk, in its order; words: all unigram occurrences in the range."""
+    """A hash range: how often other chunks hold the n-grams of each chunk, in its order."""
     n = t.column("n").to_numpy()
     chunk, grams, counts = t.column("chunk").to_pylist(), t.column("grams").to_pylist(), t.column("counts").to_pylist()
     rows = []
@@ -128,9 +131,9 @@ def _add(key: tuple, t: pa.Table) -> pa.Table:
         code, uniq = pd.factorize(np.concatenate(g))
         elsewhere = np.bincount(code, weights=c, minlength=len(uniq)).astype("<u8")[code] - c if len(code) else c
         ends = np.cumsum([len(x) for x in g])
-        rows += [(chunk[i], k, key[0].as_py(), _pack(elsewhere[e - len(x) : e]), int(c.sum()) if k == 1 else 0) for i, x, e in zip(at, g, ends)]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "elsewhere", "words"])
+        rows += [(chunk[i], k, key[0].as_py(), _pack(elsewhere[e - len(x) : e])) for i, x, e in zip(at, g, ends)]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), types)], ["chunk", "n", "part", "elsewhere"])
 
 
 def _own(m: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -179,11 +182,10 @@ def _others(grams: list, got: pa.Table, order: int) -> list[np.ndarray | None]:
     return out
 
 
-def _score(order: int):
+def _score(order: int, everything: int):
     def run(key: tuple, docs: pa.Table, got: pa.Table) -> pa.Table:
         count, grams = _grams(_text(docs), order)
         others = _others(grams, got, order)
-        everything = int(got.column("words").to_numpy()[got.column("n").to_numpy() == 1].sum())
         doc = np.repeat(np.arange(len(count)), count)
         pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
         rest = np.maximum(everything - count, 0)[doc]
@@ -198,19 +200,28 @@ def _score(order: int):
     return run
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bytes and words of the texts of a task."""
+    size = [0, 0]
+    for b in slices(batches):
+        W = words(b.column("text"))
+        size = [size[0] + len(W.data), size[1] + len(W.start)]
+    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in size], ["bytes", "words"])
+
+
 def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, log_score, mean_score) for every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    ship(spark)
-    chunks = stored_bytes(docs) // CHUNK_BYTES + 1
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    dealt = rows.repartition(parallelism(spark, docs), "chunk")
-    request, answer = "chunk INT, n INT, part INT, grams BINARY, counts BINARY", "chunk INT, n INT, part INT, elsewhere BINARY, words BIGINT"
+    ship(docs.sparkSession)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    size = rows.select("text").mapInArrow(_sizes, "bytes BIGINT, words BIGINT").agg(F.sum("bytes"), F.sum("words")).first()
+    chunks, everything = (size[0] or 0) // CHUNK_BYTES + 1, size[1] or 0
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(parallelism(docs.sparkSession, docs), "chunk")
+    request, answer = "chunk INT, n INT, part INT, grams BINARY, counts BINARY", "chunk INT, n INT, part INT, elsewhere BINARY"
     back = dealt.groupBy("chunk").applyInArrow(_send_short(order, chunks), request).groupBy("part").applyInArrow(_add, answer)
     for n in range(3, order + 1):
         sent = dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_send_long(n, chunks), request)
         back = back.union(sent.groupBy("part").applyInArrow(_add, answer))
-    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score(order), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words BIGINT, log_score DOUBLE, mean_score DOUBLE")
+    return dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score(order, everything), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words BIGINT, log_score DOUBLE, mean_score DOUBLE")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
