@@ -95,6 +95,16 @@ def posteriors(score: np.ndarray, step: np.ndarray, first: np.ndarray) -> tuple[
     return np.exp(a + b - z), pair
 
 
+def gradient(score: np.ndarray, step: np.ndarray, first: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean log-likelihood of label sequences `gold` (n, words): by emission scores, transitions and first labels. Observed counts less expected ones."""
+    n, t, k = score.shape
+    post, pair = posteriors(score, step, first)
+    by_word = (np.eye(k)[gold] - post) / n
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[:, :-1].reshape(-1), gold[:, 1:].reshape(-1)), 1.0)
+    return by_word, (seen - pair) / n, by_word[:, 0].sum(0)
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 3, rounds: int = 3, span: int = 24, batch: int = 64) -> Model:
     """texts: (label, text)."""
     labels = sorted({lang for lang, _ in texts})
@@ -135,13 +145,10 @@ def fit(texts: list[tuple[str, str]], seed: int = 3, rounds: int = 3, span: int
             rows = np.repeat(f_at[flat], n[flat]) + within(n[flat])
             used = f[rows]
             e = np.add.reduceat(m.weight[used], np.cumsum(n[flat]) - n[flat]).reshape(len(s), span, k)
-            post, pair = posteriors(e, m.step, m.first)
-            gold = np.eye(k)[y[s]]
-            g_e = (gold - post).reshape(-1, k) / len(s)
-            g_pair = np.zeros((k, k))
-            np.add.at(g_pair, (y[s][:, :-1].reshape(-1), y[s][:, 1:].reshape(-1)), 1.0)
+            g_e, g_step, g_first = gradient(e, m.step, m.first, y[s])
+            g_e = g_e.reshape(-1, k)
             g_w = np.stack([np.bincount(used, weights=np.repeat(g_e[:, c], n[flat]), minlength=FEATURES) for c in range(k)], 1) - 1e-6 * m.weight
-            for x, g, h in zip((m.weight, m.step, m.first), (g_w, (g_pair - pair) / len(s) - 1e-3 * m.step, (gold - post)[:, 0].mean(0) - 1e-3 * m.first), ada):
+            for x, g, h in zip((m.weight, m.step, m.first), (g_w, g_step - 1e-3 * m.step, g_first - 1e-3 * m.first), ada):
                 h += g * g
                 x += 0.2 * g / np.sqrt(h)
     return m
@@ -215,7 +222,7 @@ def predict(col: pa.Array, m: Model) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_TEXTS) -> Model:
-    """From at most about `rows` texts of each language, those with the least hashes of doc_id, and a stretch of each."""
+    """From at most about `rows` texts of each language, those with the least hashes of doc_id, and a stretch of each. It is fitted in a task; only the model comes to the driver."""
     ship(docs.sparkSession)
     ok = docs.where((learn.fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     counts = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
@@ -227,8 +234,8 @@ def train(docs: DataFrame, rows: int = TRAIN_TEXTS) -> Model:
     # about twice the bound could only come of repeated doc_ids
     ws = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size("w") - TRAIN_WORDS + 1, F.lit(1))).cast("int") + 1
-    got = few.withColumn("w", ws).where(F.size("w") > 0).select("doc_id", "lang", F.array_join(F.slice("w", start, F.lit(TRAIN_WORDS)), " ").alias("t")).limit(2 * rows * len(counts)).collect()
-    return fit([(r["lang"], r["t"]) for r in sorted(got)])
+    got = few.withColumn("w", ws).where(F.size("w") > 0).select("doc_id", "lang", F.array_join(F.slice("w", start, F.lit(TRAIN_WORDS)), " ").alias("t")).limit(2 * rows * len(counts))
+    return learn.fitted(got.select("lang", "t"), lambda texts: fit(sorted((r["lang"], r["t"]) for r in texts)))
 
 
 def identify(docs: DataFrame, m: Model) -> DataFrame:

@@ -70,6 +70,7 @@ def fit(x: np.ndarray, stats: np.ndarray, y: np.ndarray, rounds: int = 14, batch
     mean, scale = stats.mean(0), stats.std(0) + 1e-3
     m = Model(mean, scale, 0.0, np.zeros(x.shape[1] + stats.shape[1], np.float32), np.zeros((x.shape[1] + stats.shape[1], FACTORS), np.float32))
     if not len(y) or y.min() == y.max():
+        m.b = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))) if len(y) else 0.0
         return m
     rng = np.random.default_rng(seed)
     m.v = rng.normal(0, 0.02, m.v.shape).astype(np.float32)
@@ -118,8 +119,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            p = np.concatenate([model.score(*features(b.column("text").slice(i, 1024))) for i in range(0, b.num_rows, 1024)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p.astype(np.float64)), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            # the score as it is returned decides: in single precision 0.7 is less than the double 0.7
+            p = np.concatenate([model.score(*features(b.column("text").slice(i, 1024))) for i in range(0, b.num_rows, 1024)]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", (learn.fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out BOOLEAN, score DOUBLE, predicted INT")
