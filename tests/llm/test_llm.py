@@ -1,6 +1,7 @@
 """The ten operators and the pipeline: SQL, brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import compare  # noqa: E402
 
-from keyloom.llm import backoff, components, decontaminate, jaccard_join, langid, mixing, outliers, paragraphs, quality_fm, queries, rans, stats, text, tokens, toxicity  # noqa: E402
+from keyloom.llm import backoff, components, decontaminate, jaccard_join, langid, mixing, outliers, paragraphs, quality_fm, queries, rans, sieve, stats, text, tokens, toxicity  # noqa: E402
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 #: More columns than usual, with names that operators might use themselves.
@@ -66,6 +67,9 @@ def test_words_and_hashes():
         seen = {}
         for i, h in enumerate(W.hashes().tolist()):
             assert seen.setdefault(h, W.word(i)) == W.word(i)
+    short = [bytes(x).decode() for n in (1, 2, 3) for x in itertools.product(range(0x21 if n > 2 else 0, 0x40, 1 if n < 3 else 3), repeat=n)]
+    short = [x for x in dict.fromkeys(short) if not set(x) & set(" \t\n\x0b\x0c\r")]
+    assert len(set(text.words(pa.array(short)).hashes().tolist())) == len(short)
     assert len(set(text.words(pa.array(["A1 a1"]), text.ALNUM_WORDS).hashes(lower=True).tolist())) == 1
     n = sum(b.num_rows for b in text.slices([pa.RecordBatch.from_pydict({"text": col})], limit=10))
     assert n == len(col)
@@ -116,8 +120,6 @@ def test_forward_backward_is_exact():
             f, k = langid.word_features(W, np.arange(len(ws)))
             e = np.add.reduceat(m.weight[f], np.cumsum(k) - k)
             paths = {}
-            import itertools
-
             for path in itertools.product(range(3), repeat=len(ws)):
                 paths[path] = np.exp(m.first[path[0]] + sum(e[j, c] for j, c in enumerate(path)) + sum(m.step[a, b] for a, b in zip(path, path[1:])))
             z = sum(paths.values())
@@ -125,6 +127,28 @@ def test_forward_backward_is_exact():
             np.testing.assert_allclose(total[i], want, rtol=1e-3)
 
 
+def test_crf_gradient():
+    rng = np.random.default_rng(11)
+    n, words_, k = 3, 4, 3
+    score, step, first, gold = rng.normal(0, 1, (n, words_, k)), rng.normal(0, 1, (k, k)), rng.normal(0, 1, k), rng.integers(0, k, (n, words_))
+
+    def value():
+        def total(i, path):
+            return first[path[0]] + sum(score[i, j, c] for j, c in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:]))
+
+        return np.mean([total(i, gold[i]) - math.log(sum(math.exp(total(i, p)) for p in itertools.product(range(k), repeat=words_))) for i in range(n)])
+
+    for x, g in zip((score, step, first), langid.gradient(score, step, first, gold)):
+        flat, g = x.reshape(-1), g.reshape(-1)
+        for i in range(len(flat)):
+            ends = []
+            for e in (1e-6, -1e-6):
+                flat[i] += e
+                ends.append(value())
+                flat[i] -= e
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[i], abs=1e-6)
+
+
 # 2 outliers
 
 
@@ -155,13 +179,66 @@ def test_outliers_spare_clean_and_find_junk(spark, none):
     assert outliers.judged(none).count() == 0
 
 
-def test_concentration_agrees_with_direct_estimate(spark):
-    """The distributed steps give the estimate of the h nearest rows, up to the width of a bucket."""
-    rng = np.random.default_rng(0)
-    x = np.concatenate((rng.normal(0, 1, (2000, outliers.D)), rng.normal(9, 0.3, (200, outliers.D))))
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g STRING, " + ", ".join(f"{c} DOUBLE" for c in outliers._X))
-    e = np.frombuffer(bytes(outliers.estimates(df).first().est))
-    assert np.abs(e[: outliers.D]).max() < 0.15
+def direct_mcd(x, h, starts=40, seed=0):
+    """The least determinant over concentration steps to the end from many random subsets, on all rows in memory."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        at = rng.choice(len(x), 3 * x.shape[1], replace=False)
+        det = np.inf
+        while True:
+            scatter = np.cov(x[at].T, bias=True) + np.eye(x.shape[1]) * outliers.RIDGE
+            now, mu = np.linalg.slogdet(scatter)[1], x[at].mean(0)
+            if now >= det - 1e-9:
+                break
+            det, y = now, x - mu
+            at = np.argsort(((y @ np.linalg.inv(scatter)) * y).sum(1))[:h]
+        if best is None or det < best[0]:
+            best = det, mu, scatter
+    return best
+
+
+def test_estimates_agree_with_direct_mcd(spark):
+    """Location, scatter and determinant, with a fifth of the rows in a far cluster, and with correlated coordinates."""
+    rng, d = np.random.default_rng(0), outliers.D
+    mixing_ = rng.normal(0, 1, (d, d)) / 2 + np.eye(d)
+    x = np.concatenate((rng.normal(0, 1, (2400, d)) @ mixing_, rng.normal(7, 0.3, (600, d))))
+    df = spark.createDataFrame([("g", len(x), *map(float, r)) for r in x], "g STRING, n_g BIGINT, " + ", ".join(f"{c} DOUBLE" for c in outliers._X))
+    r = outliers.estimates(df.repartition(5)).first()
+    e = np.frombuffer(bytes(r.est))
+    det, mu, scatter = direct_mcd(x, math.ceil(outliers.H * len(x)))
+    assert abs(e[0] - det) < 0.05 and np.abs(e[1 : d + 1] - mu).max() < 0.08
+    got = np.linalg.inv(e[d + 1 :].reshape(d, d))
+    assert np.abs(got - scatter).max() < 0.1 * np.abs(scatter).max()
+    y = x - mu
+    d2 = ((y @ np.linalg.inv(scatter)) * y).sum(1)
+    assert r.scale == pytest.approx(np.median(d2) / outliers.chi2_quantile(0.5, d), rel=0.1)
+
+
+def test_concentration_lowers_the_determinant(spark):
+    rng, d = np.random.default_rng(4), outliers.D
+    x = np.concatenate((rng.normal(0, 1, (900, d)), rng.normal(4, 1, (100, d))))
+    df = spark.createDataFrame([("g", len(x), *map(float, r)) for r in x], "g STRING, n_g BIGINT, " + ", ".join(f"{c} DOUBLE" for c in outliers._X)).cache()
+    est = outliers._starts(df)
+    first = outliers._total(outliers._passed(df, est, outliers._by_distance, outliers._SUMS)).groupBy("g").applyInPandas(outliers._concentrate, outliers._ESTIMATES).cache()
+    second = outliers._total(outliers._passed(df, first, outliers._by_distance, outliers._SUMS)).groupBy("g").applyInPandas(outliers._concentrate, outliers._ESTIMATES)
+    a, b = np.array(first.first().dets), np.array(second.first().dets)
+    assert len(a) == 1 + outliers.SUBSETS and (b <= a + 0.05).all() and len(set(np.round(a, 6))) > 1
+
+
+def test_outlier_verdicts_against_brute_force(spark):
+    """kept, from the base rule and the distance under the group's estimate, worked out again row by row."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = outliers.grouped(outliers.measure(docs)).cache()
+    est = {r.g: r for r in outliers.estimates(rows).collect()}
+    got = {r.doc_id: r for r in outliers.judged(docs).collect()}
+    assert len(got) == rows.count()
+    for r in rows.collect():
+        e = np.frombuffer(bytes(est[r.g].est))
+        y = np.array([r[c] for c in outliers._X]) - e[1 : outliers.D + 1]
+        d2 = y @ e[outliers.D + 1 :].reshape(outliers.D, -1) @ y / est[r.g].scale
+        failed = r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+        assert got[r.doc_id].distance == pytest.approx(d2, rel=1e-6, abs=1e-9)
+        assert got[r.doc_id].kept == (not failed and d2 <= outliers.TAIL * outliers.chi2_quantile(outliers.QUANTILE, outliers.D))
 
 
 # 3 quality
@@ -178,6 +255,12 @@ def test_quality_held_out(spark, edges, none):
     assert quality_fm.score(edges, quality_fm.train(none, labels.where("false"))).count() == len(edge_rows())
 
 
+def test_scores_without_labels_of_both_kinds():
+    x, s = np.zeros((4, quality_fm.WORDS), np.float32), np.ones((4, 3))
+    assert (quality_fm.fit(x, s, np.ones(4)).score(x, s) > 0.99).all() and (quality_fm.fit(x, s, np.zeros(4)).score(x, s) < 0.01).all()
+    assert (quality_fm.fit(x[:0], s, np.zeros(0)).score(x, s) == 0.5).all()
+
+
 def test_pair_identity():
     rng = np.random.default_rng(2)
     x, w, v = rng.normal(size=(5, 7)), rng.normal(size=7), rng.normal(size=(7, 3))
@@ -224,9 +307,10 @@ def near_copies(n=60, seed=4):
     return rows
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_near_copies_against_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(components.blocks, "__defaults__", (block,))
+@pytest.mark.parametrize(("block", "small"), [(4, 2), (256, 32), (16, 7)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, block, small):
+    monkeypatch.setattr(components.blocks, "__defaults__", (block, block, components.BLOCK_SHINGLES))
+    monkeypatch.setattr(components.near, "__defaults__", (small,))
     rows = near_copies() + [(1000 + i, t, lang, s) for i, t, lang, s in edge_rows() if i not in (None, 4)] + [(2000, None, None, None)]
     got = {r.doc_id: r for r in jaccard_join.classes(frame(spark, rows)).collect()}
     root, links = brute_classes([shingles(t) for _, t, _, _ in rows])
@@ -245,18 +329,98 @@ def test_join_edges(spark, edges, none):
 
 
 def test_pruning_bounds():
-    least = jaccard_join.least_matches()
+    least = components.least_matches(jaccard_join.K, jaccard_join.THRESHOLD, jaccard_join.TOLERANCE, jaccard_join.STEP)
     assert list(least) == sorted(least) and least[-1] < jaccard_join.K * jaccard_join.THRESHOLD
-    assert jaccard_join._tail(1, 1, 0.8) == pytest.approx(0.2)
+    assert components.beta_tail(1, 1, 0.8) == pytest.approx(0.2)
+
+
+def test_joins_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 2 and i, i) for i in range(40)], "k INT, v INT")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert sorted((r.k, r.v, r.n) for r in components.meet(rows, facts, "k", "n").collect()) == sorted((i % 2 and i, i, 1 if i % 2 else 20) for i in range(40))
+
+
+def batched(table, n):
+    return [b for i in range(0, table.num_rows, n) for b in table.slice(i, n).to_batches()]
+
+
+@pytest.mark.parametrize("n", [1, 3, 1000])
+def test_buckets_over_batches(n):
+    """Small buckets keep their rows, large ones tie theirs to the least, wherever batches end."""
+    rng = random.Random(3)
+    rows = sorted({(b, rng.randrange(1000)) for b in range(40) for _ in range(rng.choice((1, 2, 4, 5, 30)))})
+    t = pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "key": pa.array([k for _, k in rows], pa.int64()), "hub": pa.array([None] * len(rows), pa.int64())})
+    got = sorted((r["bucket"], r["key"], r["hub"]) for b in components.shared(4)(batched(t, n)) for r in b.to_pylist())
+    by = {b: [k for c, k in rows if c == b] for b, _ in rows}
+    want = [(b, k, None) for b, ks in by.items() if 1 < len(ks) <= 4 for k in ks] + [(b, k, ks[0]) for b, ks in by.items() if len(ks) > 4 for k in ks[1:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sieve(spark):
+    a = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bits = sieve.bitmap(a.limit(700))
+    assert a.limit(700).where(sieve.passes(F.col("h"), bits)).count() == 700
+    assert spark.range(10**6, 10**6 + 3000).where(sieve.passes(F.xxhash64("id"), bits)).count() < 30
+    assert spark.range(9).where(sieve.passes(F.xxhash64("id"), sieve.bitmap(a.where("false")))).count() == 0
+
+
+def brute_paragraphs(t):
+    """(line, piece, words) of the paragraphs that are compared."""
+    out = []
+    for k, line in enumerate((t or "").split("\n")):
+        sentences, now = [], []
+        for w in re.findall(r"[^\x20\x09-\x0D]+", line):
+            now.append(w)
+            if w[-1] in ".!?":
+                sentences.append(now)
+                now = []
+        pieces, held = [], []
+        for s in [*sentences, now] if now else sentences:
+            held += s
+            if s[-1][-1] in ".!?" and len(s) >= paragraphs.LONG_SENTENCE:
+                pieces.append(held)
+                held = []
+        pieces += [held] if held else []
+        out += [(k, i, tuple(p)) for i, p in enumerate(pieces) if len(p) >= paragraphs.MIN_WORDS]
+    return out
 
 
-def test_paragraph_edges(spark, edges, none):
-    got = {(r.doc_id, r.para): r for r in paragraphs.repeated(edges).collect()}
-    assert set(got) == {(4, 0), (5, 0), (5, 1), (11, 0)}
-    assert [k for k, r in got.items() if not r.removed] == [(4, 0)]
-    assert paragraphs.repeated(none).count() == 0
-    cut = {r.doc_id: r.text for r in paragraphs.without_repeats(edges).collect()}
-    assert cut[5] == "" and cut[11] == "" and cut[6] == LONG and cut[1] is None
+def test_paragraph_cuts(spark):
+    texts = [t for _, t, _, _ in edge_rows()] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(50).collect()] + ["a.\n\n" + "b c. " * 30 + "\n" + "w " * 12 + "x! " + "y " * 17]
+    W = text.words(pa.array(texts))
+    doc, line, piece, first, n = paragraphs._paragraphs(W)
+    got = [(d, a, b, tuple(W.word(i).decode() for i in range(f, f + m))) for d, a, b, f, m in zip(doc.tolist(), line.tolist(), piece.tolist(), first.tolist(), n.tolist())]
+    assert got == [(d, *x) for d, t in enumerate(texts) for x in brute_paragraphs(t)]
+
+
+def test_passages_inside_longer_lines(spark):
+    """A passage of some sentences is found wherever it stands; texts that share short lines only are left alone."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)) + "."
+    passage = " ".join(say(k) for k in (4, 14, 3, 20, 18))
+    rows = [(i, f"{say(30)[:-1]} {passage} {say(25)}", "en", "a") for i in range(5)] + [(10 + i, f"All rights are reserved here and there.\n{say(40)}", "en", "a") for i in range(5)]
+    got = paragraphs.repeated(frame(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(5)) and {r.doc_id for r in got if not r.removed} == {0}
+    cut = {r.doc_id: r.text for r in paragraphs.without_repeats(frame(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(cut[i] == texts[i] for i in (0, *range(10, 15))) and all(len(cut[i].split()) == len(texts[i].split()) - 41 for i in range(1, 5))  # 3 + 20 and 18 words
+
+
+def test_paragraph_edges(spark, none):
+    one = " ".join(f"alpha{i}" for i in range(20))
+    rows = edge_rows() + [(20, one, "en", "a"), (20, one, "en", "a"), (20, "x", "en", "a"), (21, one + "\n" + one, "de", None), (22, one, "en", "a"), (None, one + " ", "en", "b")]
+    extra = T.StructType([*SCHEMA.fields, *(T.StructField(n, T.LongType()) for n in ("__gone", "__d", "__t", "th", "para"))])
+    df = spark.createDataFrame([(i, t, lang, src, None, "k", 1, 2, 1, 2, 3, 4, 5) for i, t, lang, src in rows], extra)
+    got = Counter((r.doc_id, r.para, r.removed) for r in paragraphs.repeated(df).collect())
+    assert got == Counter({(None, 0, False): 1, (20, 0, True): 2, (21, 0, True): 1, (21, 1, True): 1, (22, 0, True): 1})
+    got = Counter((r.doc_id, r.removed) for r in paragraphs.repeated(df.where("doc_id IN (20, 22)")).collect())
+    assert got == Counter({(20, False): 1, (20, True): 1, (22, True): 1})  # of the repeated row, one stays
+    assert paragraphs.repeated(none).count() == 0 and paragraphs.without_repeats(none).count() == 0
+    cut = paragraphs.without_repeats(df.where("doc_id IS NOT NULL"))
+    assert cut.columns == df.columns
+    left = Counter((r.doc_id, r.text) for r in cut.where("doc_id >= 20 OR doc_id IN (1, 6)").collect())
+    assert left == Counter([(1, None), (6, LONG), (20, one), (20, ""), (20, "x"), (21, ""), (22, "")])
 
 
 def test_components(spark):
@@ -314,6 +478,40 @@ def test_tokens_of_tails_after_other_than_ascii_letters():
         assert g.tolist() == enc.tok.encode(t, add_special_tokens=False).ids + [1], ascii(t)
 
 
+def odd_texts(n, seed=1):
+    """Texts that mix letters, marks, symbols, NULs, spaces of all kinds, added tokens and ASCII punctuation."""
+    rng = random.Random(seed)
+    some = [*"aAzZ09'.,!?;:-_()[]<|>\"#$%&*+/=@\\^`{}~ \t\n\x00\x01\x0b\x1c\x7f", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", " ", "  ", "\u0301", "\u0323", "\u0345", "\u0378", "\u093f", "\u0939", "\u200b", "\u200d", "\ufe0f", "\u00a0", "\u2028", "\u0085", "\u3000", "\u201d", "\u2026", "\u20ac", "\u00b0", "\u00df", "\u0130", "\u1e9e", "\u03a3", "\u4e2d", "\u0663", "\u00bd", "\u2167", "\U0001f600", "\U0001f3fd", "\uac00", "\u1100\u1161", "\u00e9", "e\u0301", "\u212b", "the", "Word", "x1"]
+    return ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_tokens_of_odd_texts():
+    enc = tokens.WordEncoder.get(tokens.tokenizer_path())
+    assert enc.by_words
+    texts = odd_texts(50_000)
+    ids, n = tokens.encode_texts(pa.array(texts), enc)
+    got = np.split(ids, np.cumsum(n)[:-1])
+    wrong = [t for t, g, w in zip(texts, got, enc.whole(texts)) if g.tolist() != [*w, 1]]
+    assert not wrong, [ascii(t) for t in wrong[:5]]
+
+
+def test_tokens_of_other_tokenizers():
+    enc = tokens.WordEncoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    assert not enc.by_words
+    texts = [*odd_texts(500), None]
+    ids, n = tokens.encode_texts(pa.array(texts), enc, 7)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(n)[:-1])] == [[*enc.tok.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_tokens_of_text_ids_and_repeated_ids(spark, tmp_path):
+    rows = [("b", "one two"), ("a", "three"), ("b", "four"), (None, "x"), ("b", "one two")] + [("c", f"text {i}") for i in range(40)]
+    got = []
+    for k, n in enumerate((1, 7)):
+        tokens.write(spark.createDataFrame(rows, "doc_id STRING, text STRING").repartition(n), f"file://{tmp_path}/{k}")
+        got.append(sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.digests(spark, f"file://{tmp_path}/{k}").collect()))
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [None, "a", *"bbb", *"c" * 40]
+
+
 def test_tokens_empty_and_damaged(spark, edges, none, tmp_path):
     tokens.write(none, f"file://{tmp_path}/e")
     assert tokens.digests(spark, f"file://{tmp_path}/e").count() == 0
@@ -405,7 +603,7 @@ def test_toxicity(spark, edges, none):
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     m = toxicity.train(docs, labels.withColumnRenamed("y", "toxic").where(~part))
     got = toxicity.grade(docs, m).join(labels.where(part), "doc_id").collect()
-    assert sum(r.toxic for r in got if r.y) >= 0.85 * sum(r.y for r in got)  # of some 300 toxic rows to learn from
+    assert sum(r.toxic for r in got if r.y) >= 0.9 * sum(r.y for r in got)  # of some 300 toxic rows to learn from
     assert sum(not r.toxic for r in got if not r.y) >= 0.995 * sum(not r.y for r in got)
     assert all(0 <= r.severity <= 3 and (r.p_toxic >= 0.5) == r.toxic for r in got)
     assert (np.diff(m.theta) >= 0).all()
@@ -416,6 +614,38 @@ def test_toxicity(spark, edges, none):
     assert not any(r.toxic for r in toxicity.grade(edges, toxicity.train(none, labels.withColumnRenamed("y", "toxic"))).collect())
 
 
+def test_ordinal_gradient():
+    rng = np.random.default_rng(6)
+    n, m = 40, 9
+    row, col = np.nonzero(rng.random((n, m)) < 0.4)
+    grade, w, theta = rng.integers(0, 4, n), rng.normal(0, 1, m), np.array([-0.7, 0.2, 1.5])
+    each = rng.random(n)
+    value, dw, dt = toxicity.log_likelihood(w, theta, row, col, grade, each)
+    # the likelihood by its definition
+    x = np.array([w[col[row == i]].sum() for i in range(n)])
+    cdf = lambda k, z: 0.0 if k < 0 else 1.0 if k > 2 else 1 / (1 + math.exp(z - theta[k]))
+    assert value == pytest.approx(sum(e * math.log(cdf(g, z) - cdf(g - 1, z)) for g, z, e in zip(grade.tolist(), x.tolist(), each.tolist())) - toxicity.PENALTY / 2 * (w @ w))
+    for v, g in ((w, dw), (theta, dt)):
+        for i in range(len(v)):
+            ends = []
+            for e in (1e-6, -1e-6):
+                v[i] += e
+                ends.append(toxicity.log_likelihood(w, theta, row, col, grade, each)[0])
+                v[i] -= e
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[i], abs=1e-6)
+
+
+def test_severity_is_graded_by_the_other_half():
+    rng = np.random.default_rng(8)
+    y, half = rng.integers(0, 2, 120), np.arange(120) % 2
+    doc = np.repeat(np.arange(120), 6)
+    code = np.where((rng.random(720) < 0.5 * y[doc]), rng.integers(0, 5, 720), rng.integers(5, 50, 720))
+    g = toxicity.severity(code, doc, y, half, 50)
+    assert (g[y == 0] == 0).all() and set(g[y == 1].tolist()) == {1, 2, 3}
+    worst = [np.isin(code[doc == i], range(5)).mean() for i in range(120)]
+    assert np.mean([worst[i] for i in range(120) if g[i] == 3]) > np.mean([worst[i] for i in range(120) if g[i] == 1])
+
+
 # 10 decontamination
 
 
@@ -443,7 +673,7 @@ def brute_leaks(docs, items):
 def test_decontamination_against_brute_force(spark, edges, none, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     a = [f"w{i}" for i in range(30)]
-    items = [(1, " ".join(a)), (2, "It's short"), (3, None), (4, "..."), (5, " ".join(a[5:25])), (10, "one"), (6, "b b b b b b b b b b b b b b b")]
+    items = [(1, " ".join(a)), (2, "It's short"), (3, None), (4, "..."), (5, " ".join(a[5:25])), (10, "one"), (10, "one"), (1, " ".join(a[20:])), (6, "b b b b b b b b b b b b b b b")]
     docs = [(100, " ".join(["x", *a[3:22], "y", "It", "S", "short"])), (101, "b " * 20), (102, "ONE-two"), (103, " ".join(a[:12])), (104, " ".join(a + ["z"] + a))]
     rows = [(i, t, "en", "a") for i, t in docs] + edge_rows()
     bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
@@ -498,7 +728,7 @@ def test_pipeline(spark, tmp_path):
         if r.doc_id in firsts:
             w = lowered(r.text)
             hit = {j for p in range(len(w) - 12) if tuple(w[p : p + 13]) in windows for j in range(p, p + 13)}
-            if not hit or 20 * len(hit) < len(w):
+            if not hit:
                 left.add(r.doc_id)
     assert {r.doc_id for r in tables["decontamination"].collect()} == left
     mixed = tables["source_mix"].collect()
