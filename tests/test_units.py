@@ -176,6 +176,14 @@ def test_raw_records():
     assert R.record_bytes(4 * 1000003) == 4
 
 
+def test_throughput(spark):
+    from keyloom.plans import measure
+
+    t = measure.Throughput(2.0, 1_000_000)
+    assert (t.tuples_per_s, t.mb_per_s) == (500_000, 4.0)
+    assert measure.run(spark.range(10), 10).tuples_per_s > 0
+
+
 def test_file_names():
     assert [G.file_name(*x) for x in (("unique", 7), ("pk", 5), ("fk", 9, 5), ("nonunique_s", 3))] == ["unique_7.bin", "pk_R5.bin", "fk_S9_pk_R5.bin", "nonUnique_S3.bin"]
     with pytest.raises(ValueError):
