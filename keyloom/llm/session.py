@@ -70,9 +70,3 @@ def fresh(columns: list[str], name: str) -> str:
 def parallelism(spark: SparkSession, df: DataFrame) -> int:
     """Partitions for a shuffle of df's texts: the scan's, or the session's if more."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-
-
-def stored_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size, from its files; where it has none, 16 MB a partition."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else df.rdd.getNumPartitions() << 24

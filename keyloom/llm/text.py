@@ -68,7 +68,7 @@ class Words:
         padded[:size] = LOWER[self.data] if lower else self.data
         piece = np.ndarray(size, "<u8", padded, strides=(1,)) if size else np.zeros(0, np.uint64)
         length = self.end - self.start
-        # the length has a product of its own: xored with the bytes, "=\\0" and ">" would meet
+        # the length has a product of its own: xored with the bytes, "=" with a NUL and ">" would meet
         out = mix(mix(piece[self.start] & _KEEP[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         live, at = np.flatnonzero(length > 8), 8
         while len(live):
