@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows a side may have before the in-memory strategy gives way, as in the reference's defaults.
 IN_MEMORY_ROWS = 128_000_001
-#: Bytes (Catalyst's estimate) that a side may have to be broadcast.
+#: Bytes that a side may have to be broadcast, by Catalyst's estimate and by its counted rows.
 BROADCAST_BYTES = 64 << 20
+#: Types that take no more than their 8 bytes in a row.
+FIXED = {"boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
 NODES = {"broadcast": "BroadcastHashJoin", "shuffle_hash": "ShuffledHashJoin", "merge": "SortMergeJoin", "shuffle_replicate_nl": "CartesianProduct"}
 
@@ -26,9 +29,20 @@ def size_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of all rows as Spark holds them in memory: 8 a column, 8 of null bits for 64 columns, and the text of columns of no fixed width. Counted, in one aggregate."""
+    texts = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string"))), F.lit(0)) for c, kind in df.dtypes if kind not in FIXED]
+    n, *held = df.agg(F.count("*"), *texts).first()
+    return n * 8 * (len(df.columns) + -(-len(df.columns) // 64)) + sum(held)
+
+
 def checked_hint(build: DataFrame, hint: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """build with the hint; a broadcast of a side not known to be small becomes a shuffled sort-merge join, which spills."""
-    if hint == "broadcast" and size_bytes(build) > limit:
+    """build with the hint; a broadcast of a side not known to be small becomes a shuffled sort-merge join, which spills.
+
+    Catalyst's estimate follows the compressed files, and a broadcast is held uncompressed by the driver: a side that is small by the
+    estimate is counted.
+    """
+    if hint == "broadcast" and (size_bytes(build) > limit or row_bytes(build) > limit):
         hint = "merge"
     return build.hint(hint)
 

@@ -60,6 +60,30 @@ def test_broadcast_gives_way_beyond_its_bound(spark):
     assert strategy.nodes(j).get("SortMergeJoin") == 1
 
 
+def test_broadcast_counts_rows_of_compressed_files(spark, tmp_path):
+    spark.range(20_000).selectExpr("id AS key", "1 AS payload").coalesce(1).write.parquet(f"{tmp_path}/r")
+    r = spark.read.parquet(f"{tmp_path}/r")
+    held = 20_000 * 8 * 3  # two columns and the null bits
+    assert strategy.size_bytes(r) < held == strategy.row_bytes(r)
+    for limit, node in ((held - 1, "SortMergeJoin"), (held, "BroadcastHashJoin")):
+        j = spark.range(0, 40_000, 3).toDF("key").join(strategy.checked_hint(r, "broadcast", limit), "key")
+        assert strategy.nodes(j).get(node) == 1
+        assert j.count() == 6_667
+    text = spark.createDataFrame([(1, "aé"), (2, None)], "key INT, `a.b` STRING")
+    assert strategy.row_bytes(text) == 2 * 24 + 3
+    assert strategy.row_bytes(text.limit(0)) == 0
+
+
+def test_broadcast_of_many_rows_in_small_files_gives_way(spark, tmp_path):
+    n = strategy.BROADCAST_BYTES // 24 + 1
+    spark.range(n).selectExpr("id AS key", "1 AS payload").write.parquet(f"{tmp_path}/r")
+    r = spark.read.parquet(f"{tmp_path}/r")
+    assert strategy.size_bytes(r) < strategy.BROADCAST_BYTES
+    j = J.join(r, rel(spark, [(0, 1), (n - 1, 2), (n, 3)]), "broadcast")
+    assert strategy.nodes(j).get("SortMergeJoin") == 1
+    assert sorted(map(tuple, j.collect())) == [(0, 1, 1), (n - 1, 2, 1)]
+
+
 def test_radix_join_adds_no_exchange(spark):
     n = strategy.nodes(J.materialize(J.join(G.unique(spark, 1000, 1000), G.unique(spark, 1000, 1000), "radix")))
     assert n["Exchange"] == 2
